@@ -11,15 +11,21 @@ descendants. Each round shuffles only the edges that are left.
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidara.session import cut
 
 EDGE = "u string, v string, via array<string>"
+#: Edges that one task may finish by itself.
+MAX_LOCAL = 100_000
 
 
 def parent_edges(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> tuple[DataFrame, DataFrame]:
@@ -50,10 +56,54 @@ class Contraction:
     removed: list[DataFrame] = field(default_factory=list)
 
 
-def contract(edges: DataFrame, start: int = 0) -> Contraction:
-    """Rake and compress until nothing moves; rows of a removal: v, u, via."""
+def _rank(k: int, x: str) -> int:
+    return zlib.crc32(f"{k} {x}".encode())
+
+
+def _contract_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rounds of ``contract`` on a bounded number of edges in one task: (u, v, via, kind, round)."""
+    e = [(u, v, list(via)) for p in batches for u, v, via in p[["u", "v", "via"]].itertuples(index=False)]
+    k = 0
+    while e:
+        inner = {u for u, _, _ in e}
+        gone = [(*x, "R", k) for x in e if x[1] not in inner]
+        e = [x for x in e if x[1] in inner]
+        into, out_of = defaultdict(list), defaultdict(list)
+        for x in e:
+            into[x[1]].append(x)
+            out_of[x[0]].append(x)
+        unary = {x for x in into if len(into[x]) == 1 and len(out_of.get(x, ())) == 1 and into[x][0][0] != x}
+        chosen = set()
+        for x in unary:
+            up, down = into[x][0][0], out_of[x][0][1]
+            if all(n not in unary or (_rank(k, x), x) > (_rank(k, n), n) for n in (up, down)):
+                chosen.add(x)
+        nxt = [x for x in e if x[0] not in chosen and x[1] not in chosen]
+        for x in chosen:
+            (up, _, via_in), (_, down, via_out) = into[x][0], out_of[x][0]
+            gone.append((up, x, via_in, "S", k))
+            nxt.append((up, down, [*via_in, x, *via_out]))
+        if not gone:
+            break
+        yield pd.DataFrame(gone, columns=["u", "v", "via", "kind", "round"])
+        e, k = nxt, k + 1
+    yield pd.DataFrame([(*x, "E", k) for x in e], columns=["u", "v", "via", "kind", "round"])
+
+
+def contract(edges: DataFrame, start: int = 0, max_local: int = MAX_LOCAL) -> Contraction:
+    """Rake and compress until nothing moves; rows of a removal: v, u, via.
+
+    The rounds are distributed while more than ``max_local`` edges are left; what is left
+    then is finished by one task, round by round in the same way.
+    """
     out, e, k = Contraction(edges), edges, start
     while not e.isEmpty():
+        if e.count() <= max_local:
+            rest = cut(e.coalesce(1).mapInPandas(_contract_here, EDGE + ", kind string, round int"), "contract")
+            rounds = rest.agg(F.max("round")).first()[0] or 0
+            out.removed += [rest.where((F.col("round") == r) & (F.col("kind") == x)).select("u", "v", "via") for r in range(rounds + 1) for x in ("R", "S")]
+            e = rest.where("kind = 'E'").select("u", "v", "via")
+            break
         deg = _degrees(e)
         inner = deg.where("nout > 0").select(F.col("node").alias("v"))
         marked = e.join(inner.withColumn("stays", F.lit(True)), "v", "left")
@@ -111,14 +161,62 @@ def _trim_top(e: DataFrame) -> DataFrame:
             return e
 
 
-def loops(core: DataFrame) -> DataFrame:
+def _loops_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, cycle_id) for a bounded core: strongly connected parts by depth-first search, no recursion."""
+    edges = [(u, v, list(via)) for p in batches for u, v, via in p[["u", "v", "via"]].itertuples(index=False)]
+    below = defaultdict(list)
+    for u, v, _ in edges:
+        below[u].append(v)
+    number, low, part, stack, held = {}, {}, {}, [], set()
+    for first in list(below):
+        if first in number:
+            continue
+        number[first] = low[first] = len(number)
+        stack.append(first)
+        held.add(first)
+        work = [(first, iter(below[first]))]
+        while work:
+            x, rest = work[-1]
+            for y in rest:
+                if y not in number:
+                    number[y] = low[y] = len(number)
+                    stack.append(y)
+                    held.add(y)
+                    work.append((y, iter(below.get(y, ()))))
+                    break
+                if y in held:
+                    low[x] = min(low[x], number[y])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
+                if low[x] == number[x]:
+                    while True:
+                        y = stack.pop()
+                        held.discard(y)
+                        part[y] = x
+                        if y == x:
+                            break
+    members = defaultdict(set)
+    for u, v, via in edges:
+        if part[u] == part[v]:
+            members[part[u]].update((u, v, *via))
+    rows = [(x, min(m)) for m in members.values() for x in m]
+    yield pd.DataFrame(rows, columns=["node", "cycle_id"])
+
+
+def loops(core: DataFrame, max_local: int = MAX_LOCAL) -> DataFrame:
     """(node, cycle_id) of the core's nodes that lie on a loop.
 
+    A core of at most ``max_local`` edges is searched by one task, a larger one by colouring.
+
     Colouring: the smallest id that reaches a node and the smallest it reaches; where
     the two agree the node belongs to that id's strongly connected part. Parts found
     are taken out and the rest is coloured again. Spliced nodes on an edge within a
     part belong to the part.
     """
+    if core.count() <= max_local:
+        return cut(core.coalesce(1).mapInPandas(_loops_here, "node string, cycle_id string"), "loops")
     e, found = core, []
     while True:
         e = _trim_top(e)
@@ -156,6 +254,7 @@ class Hierarchy:
     nodes: DataFrame
     cycles: DataFrame
     contraction: Contraction
+    max_local: int = MAX_LOCAL
 
     def paths(self) -> DataFrame:
         """(node, path, depth, root): one row per way from a start down to the node.
@@ -167,7 +266,7 @@ class Hierarchy:
         removed, acyclic = list(self.contraction.removed), self.contraction.core
         if not acyclic.isEmpty():
             acyclic = cut(_without_loop_edges(acyclic, self.cycles), "core")
-            removed += contract(acyclic, len(removed)).removed
+            removed += contract(acyclic, len(removed), self.max_local).removed
             removed = [_without_loop_edges(r, self.cycles) for r in removed]
         if not removed:
             got = self.nodes.select("node", F.array("node").alias("path"))
@@ -193,15 +292,15 @@ def _without_loop_edges(e: DataFrame, cycles: DataFrame) -> DataFrame:
     return e.join(cu, "u", "left").join(cv, "v", "left").where("cu is null or cv is null or cu <> cv").select("u", "v", "via")
 
 
-def resolve_hierarchy(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> Hierarchy:
+def resolve_hierarchy(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids", max_local: int = MAX_LOCAL) -> Hierarchy:
     """Contract the parent links of ``df``; ``.cycles`` and ``.paths()`` hold the results.
 
     Nulls and blanks among the parents are ignored, a node that is its own parent is
     a loop, an empty table gives empty results.
     """
     nodes, edges = parent_edges(df, id_col, parents_col)
-    c = contract(edges)
-    return Hierarchy(nodes, loops(c.core), c)
+    c = contract(edges, 0, max_local)
+    return Hierarchy(nodes, loops(c.core, max_local), c, max_local)
 
 
 def summarise(paths: DataFrame, cycles: DataFrame, nodes: DataFrame) -> DataFrame:
