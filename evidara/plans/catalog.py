@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidara.plans import data_quality
+from evidara.plans import data_quality, graph_plans, text_plans
 
-MODULES = (data_quality,)
+MODULES = (text_plans, graph_plans, data_quality)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
 FLAGSHIP = "p5_found"
