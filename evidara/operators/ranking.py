@@ -129,7 +129,7 @@ def rank_claims(queries: DataFrame, claims: DataFrame, retained: DataFrame, seed
     names = {"context": "applicability", "mechanism": "mechanism", "intervention": "intervention", "endpoint": "endpoint"}
     top = reduce(lambda a, b: a + b, [F.coalesce(V.WEIGHTS[n] * F.col(x), F.lit(0.0)) for n, x in names.items()])
     weight = reduce(lambda a, b: a + b, [F.when(F.col(x).isNotNull(), V.WEIGHTS[n]).otherwise(0.0) for n, x in names.items()])
-    c = c.withColumn("score", top / weight)
+    c = c.withColumn("score", F.round(top / weight, 12))
     order = W.partitionBy("query_id").orderBy(
         F.desc("score"), F.col("applicability").isNull(), F.desc("coverage"), F.desc_nulls_last("applicability"), F.desc_nulls_last("endpoint"), "claim_id"
     )

@@ -118,7 +118,9 @@ def maxsim(query_facets: DataFrame, candidates: DataFrame, pairs: DataFrame) ->
     total = query_facets.select("query_id", "domain").distinct().groupBy("query_id").agg(F.sum(F.coalesce(F.try_element_at(weight, F.col("domain")), F.lit(0.0))).alias("tw"))
     out = pairs.join(known, ["query_id", "context_id"], "left").join(total, "query_id", "left").fillna({"kw": 0.0, "ws": 0.0, "tw": 0.0})
     out = out.withColumn("semantic", F.when(F.col("kw") > 0, F.col("ws") / F.col("kw")).otherwise(0.0)).withColumn("coverage", F.when(F.col("tw") > 0, F.col("kw") / F.col("tw")).otherwise(0.0))
-    return out.withColumn("overall", F.col("semantic") * (1 - V.MISSING * (1 - F.col("coverage")))).drop("kw", "ws", "tw")
+    out = out.withColumn("overall", F.col("semantic") * (1 - V.MISSING * (1 - F.col("coverage")))).drop("kw", "ws", "tw")
+    # sums may differ in their last bits with the order of rows; ties must not
+    return out.withColumns({c: F.round(c, 12) for c in ("semantic", "coverage", "overall")})
 
 
 def retrieve_contexts(queries: DataFrame, query_facets: DataFrame, contexts: DataFrame, effective: DataFrame) -> DataFrame:
