@@ -36,6 +36,8 @@ NOISY_SHARE = 0.0005
 #: Share of a paper's pages on which a line must recur to be a running header, unless it looks like one.
 RECURS = 0.08
 NO_TEXT = ("equation", "table")
+#: A replacement that needs no further support: a digit within a word that has none.
+DIGIT_FOR_LETTER = "[0-9].*>[^0-9]+$"
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -81,7 +83,7 @@ def furniture(b: DataFrame) -> DataFrame:
     pages = numbered.where(sure | plain).select("block_id", "line", F.lit("page_number").alias("kind"))
 
     # running headers: lines that recur in the paper
-    rest = lines.where(r"form is null and length(key) >= 8 and not t rlike '[.,;:\\-‐¬­]\\s*$'")
+    rest = lines.where(r"form is null and length(key) between 8 and 150 and not t rlike '[.,;:\\-‐¬­]\\s*$'")
     capital = F.regexp_count("t", F.lit(r"\b[\p{Lu}]")) / F.greatest(F.lit(1), F.regexp_count("t", F.lit(r"\b\p{L}[\p{L}\p{N}]{3,}")))
     looks = (capital >= 0.6) | F.col("t").rlike(r"\||\(\d{4}\)|\s{3}|(?i)\bet al\b")
     body = rest.where(~F.col("block_type").isin(*NO_TEXT))
@@ -278,7 +280,7 @@ def _commoner(plain: DataFrame, found: DataFrame, signs: DataFrame, least: int)
     cand = cut(found.join(where, "word"), "cand")
     more = lambda a, b: F.col(a) / n_noisy >= NOISY * F.col(b) / n_clean
     single = cand.where("size(ops) = 1").groupBy(F.col("ops")[0].alias("op"))
-    ways = single.agg(F.count_distinct("word").alias("words"), F.sum("in_noisy").alias("wn"), F.sum("in_clean").alias("wc")).where((F.col("words") >= 3) & more("wn", "wc"))
+    ways = single.agg(F.count_distinct("word").alias("words"), F.sum("in_noisy").alias("wn"), F.sum("in_clean").alias("wc")).where(((F.col("words") >= 3) | F.col("op").rlike(DIGIT_FOR_LETTER)) & more("wn", "wc"))
     # a rare word may stand in any paper; one that is usual in quiet papers is a word
     steps = cand.where(more("in_noisy", "in_clean") | (F.col("in_clean") <= 2)).select("word", "right", "n_right", F.size("ops").alias("k"), F.explode("ops").alias("op")).join(ways.select("op", "words"), "op")
     return steps.groupBy("word", "right", "n_right", "k").agg(F.count("*").alias("known"), F.min("words").alias("words")).where("known = k")
@@ -302,7 +304,7 @@ def misreadings(counts: DataFrame) -> DataFrame:
 
     # a digit within a word that has none is a sure sign: papers that show it are noisy. What is
     # commoner there than elsewhere is a misreading, and shows which other papers are noisy
-    signs = found.where(r"exists(ops, x -> x rlike '[0-9].*>[^0-9]+$')").select("word").distinct()
+    signs = found.where(F.exists("ops", lambda x: x.rlike(DIGIT_FOR_LETTER))).select("word").distinct()
     ok = _commoner(plain, found, signs, 1)
     ok = cut(_commoner(plain, found, cut(ok.select("word").distinct().union(signs).distinct(), "signs"), 2), "ok")
     # a word that is always capital may be a name: then the name it stands for is in the same paper
