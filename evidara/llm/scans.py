@@ -99,16 +99,21 @@ def furniture(b: DataFrame) -> DataFrame:
     title = b.where("block_type = 'title' and text is not null").select("paper_id", F.explode(F.split("text", r"\r?\n")).alias("t"))
     title = title.select("paper_id", F.explode(F.array(F.regexp_extract(_key(F.col("t")), r"^(.{12,}?) (?:at|near) ", 1), F.regexp_extract(_key(F.col("t")), r"^(.{12,}? over .+?) (?:at|near) ", 1))).alias("short")).where("short <> ''").distinct()
     exact = body.join(own, ["paper_id", "key"], "left_semi").where(alone | looks)
-    common = body.where(looks & alone).join(shared, "key", "left_semi")
-    styled = body.where(looks & alone & (F.col("block_type") != "title"))
+    common = rest.join(shared, "key", "left_semi")
+    # such a header with an author or a title before or after it
+    w = F.split("key", " ")
+    parts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(w) - 1)), lambda i: F.array(F.array_join(F.slice(w, 1, i), " "), F.array_join(F.slice(w, -i, i), " ")))
+    longer = body.where(looks & (F.size(w) > 2) & (F.col("block_type") != "reference")).withColumn("part", F.explode(F.array_distinct(F.flatten(parts))))
+    longer = longer.join(shared.where("length(key) >= 12").withColumnRenamed("key", "part"), "part", "left_semi")
+    styled = body.where(looks & (F.col("block_type") != "title"))
     titled = styled.join(title, "paper_id").where(F.col("key").contains(F.col("short")) | ((F.levenshtein(F.substring("key", 1, 200), F.col("short"), 5) >= 0) & (F.levenshtein(F.substring("key", 1, 200), F.col("short"), 5) <= F.length("short") / 6)))
     # a misread header: few letters off one of the paper's headers
     most = F.floor(F.length("known") / 5)
-    close = body.where(alone).join(own.select("paper_id", F.col("key").alias("known")), "paper_id").where(
+    close = body.where(alone | looks).join(own.select("paper_id", F.col("key").alias("known")), "paper_id").where(
         (F.abs(F.length("key") - F.length("known")) <= most) & (F.levenshtein("key", "known") <= most)
     )
     in_table = rest.where(F.col("block_type").isin(*NO_TEXT)).join(own, ["paper_id", "key"], "left_semi")
-    heads = [x.select("block_id", "line") for x in (exact, common, titled, close, in_table)]
+    heads = [x.select("block_id", "line") for x in (exact, common, longer, titled, close, in_table)]
     head = heads[0]
     for h in heads[1:]:
         head = head.unionByName(h)
@@ -275,11 +280,13 @@ def _commoner(plain: DataFrame, found: DataFrame, signs: DataFrame, least: int)
     size = {r["noisy"]: r["t"] for r in noisy.groupBy("noisy").agg(F.sum("all").alias("t")).collect()}
     n_noisy, n_clean = size.get(True, 0) or 1, size.get(False, 0) or 1
     where = plain.join(noisy.select("paper_id", "noisy"), "paper_id").groupBy("word").agg(
-        F.sum(F.when(F.col("noisy"), F.col("n")).otherwise(0)).alias("in_noisy"), F.sum(F.when(~F.col("noisy"), F.col("n")).otherwise(0)).alias("in_clean")
-    )
+        F.sum(F.when(F.col("noisy"), F.col("n")).otherwise(0)).alias("in_noisy"), F.sum(F.when(~F.col("noisy"), F.col("n")).otherwise(0)).alias("in_clean"),
+        F.sum("low").alias("low"),
+    )
     cand = cut(found.join(where, "word"), "cand")
     more = lambda a, b: F.col(a) / n_noisy >= NOISY * F.col(b) / n_clean
-    single = cand.where("size(ops) = 1").groupBy(F.col("ops")[0].alias("op"))
+    # names are built from the same syllables: they show nothing about characters
+    single = cand.where("size(ops) = 1 and low > 0").groupBy(F.col("ops")[0].alias("op"))
     ways = single.agg(F.count_distinct("word").alias("words"), F.sum("in_noisy").alias("wn"), F.sum("in_clean").alias("wc")).where(((F.col("words") >= 3) | F.col("op").rlike(DIGIT_FOR_LETTER)) & more("wn", "wc"))
     # a rare word may stand in any paper; one that is usual in quiet papers is a word
     steps = cand.where(more("in_noisy", "in_clean") | (F.col("in_clean") <= 2)).select("word", "right", "n_right", F.size("ops").alias("k"), F.explode("ops").alias("op")).join(ways.select("op", "words"), "op")
