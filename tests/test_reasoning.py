@@ -152,3 +152,23 @@ def test_splitter_and_blocks(spark):
     two = spark.createDataFrame([("P", 1, 0, "Title", "A title"), ("P", 1, 1, None, "References"), ("P", 2, 0, "Text", "Kay 2001")], "paper_id string, page int, pos int, semantic_class string, text string")
     got = [(r["id"], r["block_type"]) for r in indexing.build_blocks(two).orderBy("order_").collect()]
     assert got == [("P:S00:P0001", "title"), ("P:S00:P0002", "reference"), ("P:S00:P0003", "reference")]
+
+
+def test_long_papers_are_ordered_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(f"b{i}", p, i, [rng.choice("ab"), "x"]) for p in ("P", "Q") for i in range(90) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "id string, paper_id string, order_ int, section_path array<string>")
+    want = {}
+    for p in ("P", "Q"):
+        n, last = 0, None
+        for i, q, o, s in sorted((r for r in rows if r[1] == p), key=lambda r: r[2]):
+            n += s != last
+            last = s
+            want[(q, i)] = n
+    for part in (indexing.PART, 7):
+        monkeypatch.setattr(indexing, "PART", part)
+        assert {(r["paper_id"], r["id"]): r["island"] for r in indexing.section_islands(df).collect()} == want
+    e = spark.createDataFrame([("P", i // 3, i % 3, "Section-header" if i % 10 == 4 else "Text", f"t{i}") for i in range(60)], "paper_id string, page int, pos int, semantic_class string, text string")
+    whole = sorted(map(tuple, indexing.build_blocks(e).collect()))
+    monkeypatch.setattr(indexing, "PAGES", 2)
+    assert sorted(map(tuple, indexing.build_blocks(e).collect())) == whole and len(whole) == 60
