@@ -76,17 +76,24 @@ def bm25(blocks: DataFrame, queries: DataFrame, k: int, group: str = "paper_id",
     docs = blocks.withColumn("words", X.word_list(F.col("text"), ascii_only)).withColumn("len", F.size("words"))
     size = docs.groupBy(group).agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
     tf = docs.select(group, "block_id", "len", F.explode("words").alias("w")).groupBy(group, "block_id", "len", "w").agg(F.count("*").alias("tf"))
-    asked = queries.withColumn("qi", F.monotonically_increasing_id()).select(group, "query_id", "qi", F.explode(X.word_list(F.col("text"), ascii_only)).alias("w"))
-    asked = asked.groupBy(group, "query_id", "qi", "w").agg(F.count("*").alias("times"))
+    queries = queries.select(group, "query_id", F.coalesce("text", F.lit("")).alias("qt"))
+    # a text that many queries of a group share is scored once
+    texts = queries.select(group, "qt").distinct()
+    asked = texts.select(group, "qt", F.explode(X.word_list(F.col("qt"), ascii_only)).alias("w")).groupBy(group, "qt", "w").agg(F.count("*").alias("times"))
     # only words that are asked for go through the join
     held = tf.join(asked.select(group, "w").distinct(), [group, "w"], "left_semi")
     df = held.groupBy(group, "w").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("avg")))
-    scored = held.join(df, [group, "w"]).join(size, group).join(asked, [group, "w"]).groupBy(group, "query_id", "qi", "block_id").agg(F.sum(part * F.col("times")).alias("s"))
-    best = scored.groupBy(group, "query_id", "block_id").agg(F.max("s").alias("s"))
-    every = docs.select(group, "block_id", "order_").join(queries.select(group, "query_id").distinct(), group)
-    out = every.join(best, [group, "query_id", "block_id"], "left").withColumn("score", F.coalesce("s", F.lit(0.0)))
+    scored = held.join(df, [group, "w"]).join(size, group).join(asked, [group, "w"]).groupBy(group, "qt", "block_id").agg(F.sum(part * F.col("times")).alias("s"))
+    # what shares a word scores above 0, so the group's first k blocks hold all that may fill up
+    at = docs.select(group, "block_id", "order_")
+    fill = at.withColumn("o", F.row_number().over(W.partitionBy(group).orderBy("order_", "block_id"))).where(F.col("o") <= k).drop("o")
+    every = scored.join(at, [group, "block_id"]).select(group, "qt", "block_id", "order_", "s").unionByName(texts.join(fill, group).withColumn("s", F.lit(0.0)))
+    every = every.groupBy(group, "qt", "block_id", "order_").agg(F.max("s").alias("score"))
+    best = every.withColumn("r", F.row_number().over(W.partitionBy(group, "qt").orderBy(F.desc("score"), "order_", "block_id"))).where(F.col("r") <= k)
+    # a query's k best are among the k best of its texts
+    out = best.join(queries.distinct(), [group, "qt"]).groupBy(group, "query_id", "block_id", "order_").agg(F.max("score").alias("score"))
     order = W.partitionBy(group, "query_id").orderBy(F.desc("score"), "order_", "block_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "query_id", "block_id", "score", "rank")
 

@@ -32,10 +32,20 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def alias_hits(spark: SparkSession, d: str) -> DataFrame:
-    a = rec(spark, d, "contexts", "paper_id", "label", "aliases").where(asked())
+    """Of the papers asked about; ``alias_hits_all`` has the hits of all papers."""
+    return _alias_hits(rec(spark, d, "contexts", "paper_id", "label", "aliases").where(asked()), rec(spark, d, "source_blocks", "paper_id", "text").where(asked()))
+
+
+def alias_hits_all(spark: SparkSession, d: str) -> DataFrame:
+    return _alias_hits(rec(spark, d, "contexts", "paper_id", "label", "aliases"), rec(spark, d, "source_blocks", "paper_id", "text"))
+
+
+def _alias_hits(a: DataFrame, b: DataFrame) -> DataFrame:
     a = a.select(F.col("id").alias("context_id"), "paper_id", F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).withColumn("key", X.text_key(F.col("alias"), True)).where("key <> ''")
-    b = rec(spark, d, "source_blocks", "paper_id", "text").where(asked()).select(F.col("id").alias("block_id"), "paper_id", X.text_key(F.col("text"), True).alias("t"))
-    return a.join(b, "paper_id").where(F.contains(F.col("t"), F.col("key"))).select("context_id", "block_id").distinct()
+    b = b.select(F.col("id").alias("block_id"), "paper_id", X.text_key(F.col("text"), True).alias("t"))
+    # a key that many contexts of a paper share is looked for once
+    held = b.join(a.select("paper_id", "key").distinct(), "paper_id").where(F.contains(F.col("t"), F.col("key"))).select("paper_id", "key", "block_id")
+    return held.join(a, ["paper_id", "key"]).select("context_id", "block_id").distinct()
 
 
 def neighbour_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -184,16 +194,17 @@ def grounding_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_bundle(spark: SparkSession, d: str) -> DataFrame:
-    b = rec(spark, d, "source_blocks", "paper_id", "order_", "section_path", "block_type", "text").where(asked())
-    c = rec(spark, d, "contexts", "paper_id", "label", "aliases", "evidence_block_ids").where(asked())
+    """Every context of every paper asks for the blocks of its prompt."""
+    b = cut(rec(spark, d, "source_blocks", "paper_id", "order_", "section_path", "block_type", "text"), "blocks")
+    c = cut(rec(spark, d, "contexts", "paper_id", "label", "aliases", "evidence_block_ids"), "contexts")
     q = c.select("paper_id", F.col("id").alias("query_id"), F.col("label").alias("text")).where("text is not null")
-    lex = retrieval.bm25(b.where("block_type <> 'reference'").withColumnRenamed("id", "block_id"), q, 10, ascii_only=True)
+    lex = cut(retrieval.bm25(b.where("block_type <> 'reference'").withColumnRenamed("id", "block_id"), q, 10, ascii_only=True), "lexical")
     must = c.select("paper_id", F.col("id").alias("query_id"), F.explode("evidence_block_ids").alias("block_id"))
     names = c.select("paper_id", F.col("id").alias("query_id"), F.explode("aliases").alias("alias"))
     return indexing.evidence_bundle(b, lex, must, names, ascii_only=True)
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, bm25_topk, alias_hits, neighbour_blocks, context_retrieval, maxsim_matches, coherence_pairs, state_mapping, claim_rank, paths_found, ask, alternatives, evidence_blocks, citations, grounding_filter, hybrid_bundle)}
+QUERIES = {f.__name__: f for f in (cosine_topk, bm25_topk, alias_hits, alias_hits_all, neighbour_blocks, context_retrieval, maxsim_matches, coherence_pairs, state_mapping, claim_rank, paths_found, ask, alternatives, evidence_blocks, citations, grounding_filter, hybrid_bundle)}
 
 _WORDS = lambda x: f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_%+./-]+')"
 _PRIORITY = f"""(case when s like '%results%' or s like '%analysis%' then 5 when s like '%discussion%' then 4 when s like '%conclusion%' then 3 when s like '%methods%' then 2 else 0 end)"""

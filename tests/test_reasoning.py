@@ -172,3 +172,16 @@ def test_long_papers_are_ordered_in_parts(spark, monkeypatch):
     whole = sorted(map(tuple, indexing.build_blocks(e).collect()))
     monkeypatch.setattr(indexing, "PAGES", 2)
     assert sorted(map(tuple, indexing.build_blocks(e).collect())) == whole and len(whole) == 60
+
+
+def test_bundles_and_alias_hits_cover_all_papers(spark, tmp_path):
+    from evidara.plans import retrieval_plans
+
+    b = [(f"{p}:S{k}", p, k, ["Results"], "paragraph", t) for p in ("P0000001", "P0000050") for k, t in enumerate(("albedo of RUN-A1", "rain", "heat"))]
+    c = [(f"{p}:C{k}", p, "albedo", ["run-a1"], [f"{p}:S2"]) for p in ("P0000001", "P0000050") for k in range(2)]
+    spark.createDataFrame(b, "id string, paper_id string, order_ int, section_path array<string>, block_type string, text string").write.parquet(str(tmp_path / "source_blocks.parquet"))
+    spark.createDataFrame(c, "id string, paper_id string, label string, aliases array<string>, evidence_block_ids array<string>").write.parquet(str(tmp_path / "contexts.parquet"))
+    got = {(r["group"], r["id"]) for r in retrieval_plans.hybrid_bundle(spark, str(tmp_path)).collect()}
+    assert got == {(x[0], y[0]) for x in c for y in b if x[1] == y[1]}
+    hits = {tuple(r) for r in retrieval_plans.alias_hits_all(spark, str(tmp_path)).collect()}
+    assert hits == {(x[0], f"{x[1]}:S0") for x in c}
