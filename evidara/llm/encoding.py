@@ -107,16 +107,15 @@ def _twin_key(words: list[str], i: int) -> str:
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(form, key, n): the batch's words with non-ASCII characters, counted before anything is shuffled."""
+    """(form, key, n): texts of the batch that hold a word with non-ASCII characters at this place; without a key: anywhere."""
     for p in batches:
         n: Counter = Counter()
         for text in p.text:
             if text is None or text.isascii():
                 continue
             words = SPACE.split(text)
-            for i, w in enumerate(words):
-                if not w.isascii():
-                    n[(masked(w), _twin_key(words, i))] += 1
+            at = {(masked(w), _twin_key(words, i)) for i, w in enumerate(words) if not w.isascii()}
+            n.update(at | {(f, None) for f, _ in at})
         yield pd.DataFrame([(f, k, c) for (f, k), c in n.items()], columns=["form", "key", "n"])
 
 
@@ -128,49 +127,59 @@ def _explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["way", "form", "clean"])
 
 
-def _apply(learned: list[str], known: frozenset[str]):
+def _apply(learned: list[str], known: frozenset[str], minor: frozenset[str]):
     proven = [w for w in learned if w.startswith("utf-8") and not w.endswith("~")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             rows = []
-            for form, n in zip(p.form, p.n, strict=True):
+            for form, n, places in zip(p.form, p.n, p.places, strict=True):
                 if LOST not in form and n >= RATIO:
-                    for g in {misread(form, w) for w in learned} - {None, form}:
-                        rows.append((g, form, n, False))
+                    major = {misread(form, w) for w in learned if w not in minor}
+                    for g in (major | {misread(form, w) for w in minor}) - {None, form}:
+                        rows.append((g, form, n, places, g not in major, False))
                 for w in proven:
                     c = reread(form, w)
                     # only characters that aligned twins show as restored ones
                     if c and c != form and all(x.isascii() or x in known for x in c):
-                        rows.append((form, c, 0, True))
-            yield pd.DataFrame(rows, columns=["form", "clean", "n_clean", "proven"])
+                        rows.append((form, c, 0, 0, False, True))
+            yield pd.DataFrame(rows, columns=["form", "clean", "n_clean", "places_clean", "minor", "proven"])
 
     return run
 
 
-def learn(docs: DataFrame) -> tuple[DataFrame, list[str], frozenset[str]]:
-    """(forms: form, n), the learned ways and the characters that they were seen to garble."""
-    slim = docs.select("text").where("text is not null")
-    placed = cut(slim.mapInPandas(_forms, "form string, key string, n long").groupBy("form", "key").agg(F.sum("n").alias("n")), "forms")
+def learn(docs: DataFrame) -> tuple[DataFrame, list[str], frozenset[str], frozenset[str]]:
+    """(forms: form, n, places), the learned ways, the characters that they were seen to garble, and the minor ways.
+
+    Copies of a text count once. A way is minor if more twin pairs show its reverse.
+    """
+    slim = docs.select("text").where(r"text rlike '[^\\x00-\\x7f]'").distinct()
+    counted = cut(slim.mapInPandas(_forms, "form string, key string, n long").groupBy("form", "key").agg(F.sum("n").alias("n")), "forms")
+    placed = counted.where("key is not null")
     # one dominant form a group, so a group of any size gives as many pairs as it has other forms
     top = placed.groupBy("key").agg(F.max_by("form", F.struct("n", "form")).alias("clean"), F.max("n").alias("n_clean"))
     twins = placed.join(top, "key").where((F.col("form") != F.col("clean")) & (F.col("n_clean") > F.col("n"))).select("form", "clean").distinct()
     pairs = cut(twins.mapInPandas(_explain, "way string, form string, clean string"), "pairs")
     strong = pairs.where(F.char_length("clean") >= 3)
-    learned = [r["way"] for r in strong.groupBy("way").count().where(F.col("count") >= MIN_PAIRS).collect()]  # at most len(ways())
+    votes = {r["way"]: r["count"] for r in strong.groupBy("way").count().collect()}  # at most len(ways())
+    learned = [w for w, n in votes.items() if n >= MIN_PAIRS]
+    minor = frozenset(w for w in learned if votes[w] < votes.get(">".join(w.split(">")[::-1]), 0))
     shown = pairs.where(F.col("way").isin(learned)).select(F.explode(F.split("clean", "")).alias("c")).where(r"c rlike '[^\\x00-\\x7f]'").groupBy("c").count()
     known = frozenset(r["c"] for r in shown.collect())  # characters: bounded by the character set
-    return placed.groupBy("form").agg(F.sum("n").alias("n")), sorted(learned), known
+    forms = counted.groupBy("form").agg(F.sum(F.when(F.col("key").isNull(), F.col("n"))).alias("n"), F.count("key").alias("places"))
+    return forms, sorted(learned), known, minor
 
 
 def garbled_forms(docs: DataFrame) -> DataFrame:
     """(form, clean): garbled words, digits masked, with what they were; null where it is lost."""
-    forms, learned, known = learn(docs)
+    forms, learned, known, minor = learn(docs)
     forms = cut(forms, "vocabulary")
-    cand = forms.mapInPandas(_apply(learned, known), "form string, clean string, n_clean long, proven boolean")
+    cand = forms.mapInPandas(_apply(learned, known, minor), "form string, clean string, n_clean long, places_clean long, minor boolean, proven boolean")
     # a word of one letter says too little; a lone sign may be judged by how common it is
     telling = (F.char_length("form") > 1) | ~F.col("form").rlike(r"^\p{L}$")
-    hit = cand.join(forms, "form").where(F.col("proven") | ((F.col("n_clean") >= RATIO * F.col("n")) & telling))
+    # against the direction that most pairs show, the clean form must stand in more places as well
+    placed = ~F.col("minor") | (F.col("places_clean") >= RATIO * F.col("places"))
+    hit = cand.join(forms, "form").where(F.col("proven") | ((F.col("n_clean") >= RATIO * F.col("n")) & telling & placed))
     best = hit.groupBy("form").agg(F.max_by("clean", F.struct("n_clean", F.col("proven").cast("int"), "clean")).alias("clean"))
     broken = forms.where(F.col("form").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).select("form")
     return cut(best.select("form", "clean").unionByName(broken.join(best, "form", "left_anti").withColumn("clean", F.lit(None).cast("string"))), "garbled")

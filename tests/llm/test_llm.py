@@ -326,3 +326,13 @@ def test_garbled_documents(spark):
     whole = [d for d, (t, _) in bad.items() if back[d] == t]
     assert len(whole) >= 0.8 * len(bad) and back[5000] == "Temp�rature"
     assert encoding.garbled_documents(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_outvote_clean_words(spark):
+    rng = random.Random(5)
+    clean = [(i, " ".join(SENTENCES[2].format(n=rng.randrange(10_000)) for _ in range(2))) for i in range(12)]
+    bad = [encoding.misread(SENTENCES[2].format(n=k), "cp1251>cp1252") for k in range(2)]
+    rows = clean + [(1000 + i, bad[0]) for i in range(90)] + [(2000, bad[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0] for r in encoding.garbled_documents(df).collect()} == {d for d, _ in rows if d >= 1000}
+    assert {r["text"] for r in encoding.restore_documents(df).collect()} == {SENTENCES[2].format(n=k) for k in range(2)}
