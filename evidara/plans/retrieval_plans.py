@@ -149,16 +149,31 @@ def paths_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ask(spark: SparkSession, d: str) -> DataFrame:
-    """The whole way from questions to cited evidence: paths, their claims' blocks and citations."""
+    """The whole way from questions to cited evidence: paths, contradicting and other claims on their endpoints, blocks within the budget, citations."""
     b = _batch(spark, d)
     p, ranked = _searched(b)
-    focal = evidence.focal_claims(cut(p, "paths"))
-    blocks = rec(spark, d, "source_blocks", "page", "order_", "section_path")
-    held = evidence.evidence_blocks(focal, b["claims"], blocks).groupBy("query_id", "claim_id").agg(F.array_sort(F.collect_list(F.struct("k", "block_id"))).alias("b"))
+    p = cut(p, "paths")
+    focal = cut(evidence.focal_claims(p), "focal")
+    other = cut(evidence.alternatives(focal, cut(_keyed(spark, d), "keyed"), ranked), "alternatives")
+    blocks = rec(spark, d, "source_blocks", "page", "order_", "section_path", "text")
+    wanted = focal.select("query_id", "claim_id").union(other.select("query_id", "claim_id")).distinct()
+    told = cut(wanted.join(b["claims"].withColumnRenamed("id", "claim_id").select("claim_id", "from_concept", "from_direction", "relation", "to_concept", "to_direction", "description", "conditioning_facet_ids"), "claim_id"), "told")
+    needed = told.select("query_id", F.explode("conditioning_facet_ids").alias("claim_id")).distinct()
+    cited = rec(spark, d, "facets", "evidence_block_ids").withColumn("claim_embedding", F.lit(None).cast("array<double>"))
+    held = evidence.evidence_blocks(wanted, b["claims"], blocks).unionByName(evidence.evidence_blocks(needed, cited, blocks))
+    held = held.join(blocks.select(F.col("id").alias("block_id"), "text"), "block_id").groupBy("query_id").agg(F.collect_list(F.struct(F.col("claim_id").alias("id"), "k", "block_id", "text")).alias("held"))
+    rank = F.array_position(F.array(*[F.lit(c) for c in evidence.CLASSES]), F.col("classification"))
+    other = other.join(focal.select("query_id", F.col("claim_id").alias("focal_claim_id"), "pos"), ["query_id", "focal_claim_id"])
+    other = other.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", rank.alias("class"), "claim_id", "focal_claim_id", "classification"))).alias("a"))
+    other = other.select("query_id", F.transform("a", lambda x: F.struct(x["claim_id"].alias("claim_id"), x["focal_claim_id"].alias("focal_claim_id"), x["classification"].alias("classification"))).alias("alternatives"))
+    claims = told.groupBy("query_id").agg(F.collect_list(F.struct(F.col("claim_id").alias("id"), *[c for c in told.columns if c not in ("query_id", "claim_id")])).alias("claims"))
+    best = p.groupBy("query_id").agg(F.collect_list(F.struct("rank", "claims", "score")).alias("paths"))
+    whole = b["questions"].select("query_id", "mode").join(best, "query_id").join(claims, "query_id").join(other, "query_id", "left").join(held, "query_id")
+    pack = cut(evidence.packages(whole), "packages")
     cites = evidence.citations(b["claims"], rec(spark, d, "papers", "title", "year", "doi"), blocks)
     scores = ranked.select("query_id", "claim_id", F.round("score", 6).alias("score"))
-    out = focal.join(held, ["query_id", "claim_id"], "left").join(cites.select("claim_id", "citation"), "claim_id", "left").join(scores, ["query_id", "claim_id"], "left")
-    return out.select("query_id", "pos", "claim_id", "score", F.array_join(F.transform("b", lambda x: x["block_id"]), " ").alias("blocks"), "citation")
+    out = pack.join(cites.select("claim_id", "citation"), "claim_id", "left").join(scores, ["query_id", "claim_id"], "left")
+    return out.select("query_id", "pos", "claim_id", "facet_id", "role", "focal_claim_id", "score", F.array_join("blocks", " ").alias("blocks"), "citation", F.array_join("warnings", ",").alias("warnings"))
 
 
 def _keyed(spark: SparkSession, d: str) -> DataFrame:

@@ -185,3 +185,19 @@ def test_bundles_and_alias_hits_cover_all_papers(spark, tmp_path):
     assert got == {(x[0], y[0]) for x in c for y in b if x[1] == y[1]}
     hits = {tuple(r) for r in retrieval_plans.alias_hits_all(spark, str(tmp_path)).collect()}
     assert hits == {(x[0], f"{x[1]}:S0") for x in c}
+
+
+def test_packages_hold_contradictions_within_the_budget(spark):
+    path, alt, held = "array<struct<rank:int,claims:array<string>,score:double>>", "array<struct<claim_id:string,focal_claim_id:string,classification:string>>", "array<struct<id:string,k:int,block_id:string,text:string>>"
+    row = ("q", "forward", [(1, ["c1"], 0.9)], [("c2", "c1", "opposite")], [("c1", ["f1"]), ("c2", None)], [("c1", 1, "b1", "x" * 50), ("c2", 1, "b2", "y" * 700), ("f1", 1, "b3", "z")])
+    df = spark.createDataFrame([row], f"query_id string, mode string, paths {path}, alternatives {alt}, claims array<struct<id:string,conditioning_facet_ids:array<string>>>, held {held}")
+    got = {b: [(r["claim_id"], r["facet_id"], r["role"], r["blocks"]) for r in evidence.packages(df, b, b).orderBy("pos").collect()] for b in (150, 5_000)}
+    path, facet = ("c1", None, "path", ["b1"]), (None, "f1", "conditioning_facet", ["b3"])
+    assert got == {150: [path, facet], 5_000: [path, ("c2", None, "opposite", ["b2"]), facet]}
+
+
+def test_ask_answers_with_alternatives(spark):
+    from evidara.plans import retrieval_plans
+
+    roles = {r["role"] for r in retrieval_plans.ask(spark, "/root/testdata/sf0.01").select("role").collect()}
+    assert "path" in roles and roles & set(evidence.CLASSES)
