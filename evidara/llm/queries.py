@@ -102,9 +102,9 @@ SQL = {
             union all select 'content_embedding', id, any_value(content_embedding::double[]) from facets where len(content_embedding) = 64 group by id
             union all select 'claim_embedding', id, any_value(claim_embedding::double[]) from claims where len(claim_embedding) = 64 group by id
             union all select 'retrieval_embedding', id, any_value(retrieval_embedding::double[]) from contexts where len(retrieval_embedding) = 64 group by id),
-        u as (select field, id, v, sqrt(list_dot_product(v, v)) as n from v where list_dot_product(v, v) > 0)
+        u as (select field, id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::double[64] as v from v where list_dot_product(v, v) > 0)
         select a.field, a.id as left_id, b.id as right_id from u a join u b on a.field = b.field and a.id < b.id
-        where list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9""",
+        where array_inner_product(a.v, b.v) >= 0.9""",
     "p9_found": """
         with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
         i as (select item_id, regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+') as w from eval_items

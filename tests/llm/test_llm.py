@@ -196,18 +196,45 @@ def test_partition_is_balanced_and_routes():
     assert partition.route(x, w, 4).shape == (2000, 4)
 
 
-def test_nearest_recall(spark):
-    rng = np.random.default_rng(8)
-    centers = rng.standard_normal((40, 64))
+def clustered(n=6000, seed=8):
+    rng = np.random.default_rng(seed)
+    centers = rng.standard_normal((n // 60, 64))
     x = np.vstack([c + 0.35 * rng.standard_normal((60, 64)) for c in centers]).astype(np.float32)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    df = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, e array<float>")
-    got = defaultdict(set)
-    for r in neighbours.nearest(neighbours.vectors(df, "e"), 10).collect():
-        got[r["id"]].add(r["neighbour_id"])
-    near = partition.neighbour_graph(x, 10)
-    hit = sum(len(got[f"v{i:04d}"] & {f"v{j:04d}" for j in row}) for i, row in enumerate(near))
-    assert all(len(g) == 10 for g in got.values()) and hit / near.size >= 0.9
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_with_many_parts(spark):
+    x = clustered()
+    v = neighbours.vectors(spark.createDataFrame([(f"v{i:04d}", r.tolist()) for i, r in enumerate(x)], "id string, e array<float>"), "e")
+    assert neighbours.fit_routers(v, part_rows=150)["e"].shape[1] == 40
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(s, 1) >= 0.9))}
+    got = {(r[1], r[2]) for r in neighbours.similar_pairs(v, 0.9, part_rows=150).collect()}
+    assert not got - want and len(got) >= 0.99 * len(want) > 1000
+    whole = {(r[1], r[2]) for r in neighbours.similar_pairs(v, 0.9, neighbours.ALL_PARTS, part_rows=150).collect()}
+    assert whole == want
+    near, found = partition.neighbour_graph(x, 10), defaultdict(set)
+    for r in neighbours.nearest(v, 10, part_rows=150).collect():
+        found[r["id"]].add(r["neighbour_id"])
+    hit = sum(len(found[f"v{i:04d}"] & {f"v{j:04d}" for j in row}) for i, row in enumerate(near))
+    assert all(len(g) == 10 for g in found.values()) and hit / near.size >= 0.9
+
+
+def test_blocks_of_which_one_side_is_empty(spark):
+    x = clustered(120)
+    v = neighbours.vectors(spark.createDataFrame([(f"v{i:04d}", r.tolist()) for i, r in enumerate(x)], "id string, e array<float>"), "e")
+    # so many hash blocks that some hold no row: queries meet an empty index and the reverse
+    s = x.astype(np.float64) @ x.T.astype(np.float64)
+    want = {(f"v{i:04d}", f"v{j:04d}") for i, j in zip(*np.nonzero(np.triu(s, 1) >= 0.9))}
+    assert {(r[1], r[2]) for r in neighbours.similar_pairs(v, 0.9, neighbours.ALL_PARTS, index_block=2).collect()} == want
+    assert neighbours.nearest(v, 3, index_block=2).count() == 3 * 120
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    x = clustered(120)
+    rows = [(f"v{i:04d}", r.tolist()) for i, r in enumerate(x)] + [(f"copy{i:02d}", x[5].tolist()) for i in range(30)]
+    got = neighbours.nearest(neighbours.vectors(spark.createDataFrame(rows, "id string, e array<float>"), "e"), 3).where("id = 'v0005'").orderBy("rank")
+    assert [r["neighbour_id"] for r in got.collect()] == ["copy00", "copy01", "copy02"]
 
 
 # ---- 8: packing ----------------------------------------------------------------
