@@ -1,32 +1,25 @@
 """Parent-child links to full hierarchies by tree contraction.
 
-A round rakes all leaves and then splices an independent set of unary nodes
-(one parent, one child), chosen by a hash that changes with the round, so a chain
-of any length shrinks by a constant share. Each removed node is recorded with the
-edges to its parents as they were. What no round can remove is a core that holds a
-loop; its strongly connected parts are found by colouring. Reading the records
-backwards then gives every node its paths, and with them depth, roots and
-descendants. Each round shuffles only the edges that are left.
+A round rakes all leaves and splices an independent set of unary nodes (one parent,
+one child): those that outrank, by a hash that changes with the round, whichever of
+their two neighbours is unary too. A chain of any length so shrinks by a constant
+share. Each removed node is recorded with the edges to its parents as they were. What
+no round can remove is a core that holds a loop; its strongly connected parts are
+found by colouring. Reading the records backwards then gives every node its ancestors
+and paths, and with them depth, roots and descendants. Each round shuffles only the
+edges that are left; there is one way for inputs of every size.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidara.session import cut
 
-EDGE = "u string, v string, via array<string>"
-#: Edges that one task may finish by itself.
-MAX_LOCAL = 100_000
-
 
 def parent_edges(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> tuple[DataFrame, DataFrame]:
     """(nodes: node), (edges: u parent, v child, via). Parents that do not exist give no edge.
@@ -41,189 +34,89 @@ def parent_edges(df: DataFrame, id_col: str = "id", parents_col: str = "parent_i
     return nodes, cut(edges.select("u", "v", F.array().cast("array<string>").alias("via")), "edges")
 
 
-def _degrees(edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("u").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
-        edges.select(F.col("v").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
-    )
-    return ends.groupBy("node").agg(F.sum("i").alias("nin"), F.sum("o").alias("nout"))
-
-
 @dataclass
 class Contraction:
-    """Edges that are left and the removals of every round."""
+    """Edges that are left, and for each round the links (u, v, via) of the nodes it removed."""
 
     core: DataFrame
     removed: list[DataFrame] = field(default_factory=list)
 
 
-def _rank(k: int, x: str) -> int:
-    return zlib.crc32(f"{k} {x}".encode())
-
-
-def _contract_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rounds of ``contract`` on a bounded number of edges in one task: (u, v, via, kind, round)."""
-    e = [(u, v, list(via)) for p in batches for u, v, via in p[["u", "v", "via"]].itertuples(index=False)]
-    k = 0
-    while e:
-        inner = {u for u, _, _ in e}
-        gone = [(*x, "R", k) for x in e if x[1] not in inner]
-        e = [x for x in e if x[1] in inner]
-        into, out_of = defaultdict(list), defaultdict(list)
-        for x in e:
-            into[x[1]].append(x)
-            out_of[x[0]].append(x)
-        unary = {x for x in into if len(into[x]) == 1 and len(out_of.get(x, ())) == 1 and into[x][0][0] != x}
-        chosen = set()
-        for x in unary:
-            up, down = into[x][0][0], out_of[x][0][1]
-            if all(n not in unary or (_rank(k, x), x) > (_rank(k, n), n) for n in (up, down)):
-                chosen.add(x)
-        nxt = [x for x in e if x[0] not in chosen and x[1] not in chosen]
-        for x in chosen:
-            (up, _, via_in), (_, down, via_out) = into[x][0], out_of[x][0]
-            gone.append((up, x, via_in, "S", k))
-            nxt.append((up, down, [*via_in, x, *via_out]))
-        if not gone:
-            break
-        yield pd.DataFrame(gone, columns=["u", "v", "via", "kind", "round"])
-        e, k = nxt, k + 1
-    yield pd.DataFrame([(*x, "E", k) for x in e], columns=["u", "v", "via", "kind", "round"])
-
-
-def contract(edges: DataFrame, start: int = 0, max_local: int = MAX_LOCAL) -> Contraction:
-    """Rake and compress until nothing moves; rows of a removal: v, u, via.
-
-    The rounds are distributed while more than ``max_local`` edges are left; what is left
-    then is finished by one task, round by round in the same way.
-    """
+def contract(edges: DataFrame, start: int = 0) -> Contraction:
+    """Rake and compress until a round removes nothing."""
     out, e, k = Contraction(edges), edges, start
-    while not e.isEmpty():
-        if e.count() <= max_local:
-            rest = cut(e.coalesce(1).mapInPandas(_contract_here, EDGE + ", kind string, round int"), "contract")
-            rounds = rest.agg(F.max("round")).first()[0] or 0
-            out.removed += [rest.where((F.col("round") == r) & (F.col("kind") == x)).select("u", "v", "via") for r in range(rounds + 1) for x in ("R", "S")]
-            e = rest.where("kind = 'E'").select("u", "v", "via")
-            break
-        deg = _degrees(e)
-        inner = deg.where("nout > 0").select(F.col("node").alias("v"))
-        marked = e.join(inner.withColumn("stays", F.lit(True)), "v", "left")
-        raked = cut(marked.select("u", "v", "via", F.coalesce("stays", F.lit(False)).alias("stays")), "rake")
-        left = raked.where("stays").drop("stays")
-        moved = _splice(left, k)
-        step = cut(
-            raked.where("not stays").select("u", "v", "via", F.lit("R").alias("kind")).unionByName(moved), "contract"
-        )
-        if step.where("kind <> 'E'").isEmpty():
-            break
-        # leaves go before unary nodes, so a raked node's parent may be one spliced in the same round
-        out.removed += [step.where(F.col("kind") == x).drop("kind") for x in ("R", "S")]
-        e = step.where("kind = 'E'").drop("kind")
+    while True:
+        step = cut(_round(_with_degrees(e), k), "contract")
+        n = {r["kind"]: r["n"] for r in step.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows
+        out.core = e = step.where("kind = 'left'").drop("kind")
+        if "removed" not in n:
+            return out
+        out.removed.append(step.where("kind = 'removed'").drop("kind"))
+        if "left" not in n:
+            return out
         k += 1
-    out.core = e
-    return out
 
 
-def _splice(e: DataFrame, k: int) -> DataFrame:
-    """Edges after removing an independent set of unary nodes ('E'), and the removed ones' links ('S')."""
-    unary = _degrees(e).where("nin = 1 and nout = 1").select("node")
-    a = e.join(unary.withColumnRenamed("node", "v"), "v", "left_semi").where("u <> v")  # the only edge into each
-    b = e.join(unary.withColumnRenamed("node", "u"), "u", "left_semi").where("u <> v")  # the only edge out of each
-    trio = a.select(F.col("v").alias("x"), F.col("u").alias("up"), F.col("via").alias("via_in")).join(
-        b.select(F.col("u").alias("x"), F.col("v").alias("down"), F.col("via").alias("via_out")), "x"
+def _with_degrees(e: DataFrame) -> DataFrame:
+    """Each edge with whether its child is a leaf and whether its ends are unary."""
+    ends = e.select(F.col("u").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(
+        e.select(F.col("v").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o"))
     )
+    unary = (F.sum("i") == 1) & (F.sum("o") == 1)
+    deg = ends.groupBy("node").agg(unary.alias("unary"), (F.sum("o") == 0).alias("leaf"))
+    up = deg.select(F.col("node").alias("u"), F.col("unary").alias("u_unary"))
+    down = deg.select(F.col("node").alias("v"), F.col("unary").alias("v_unary"), F.col("leaf").alias("v_leaf"))
+    return e.join(up, "u").join(down, "v")
+
+
+def _round(e: DataFrame, k: int) -> DataFrame:
+    """(u, v, via, kind): edges that are ``left`` after a round, and the links of the nodes it ``removed``."""
     rank = lambda c: F.xxhash64(F.lit(k), F.col(c))
-    # a neighbour that is unary too and ranks higher keeps x in
-    near = trio.select(F.col("x").alias("n"))
-    trio = (
-        trio.join(near.withColumnRenamed("n", "up").withColumn("up1", F.lit(True)), "up", "left")
-        .join(near.withColumnRenamed("n", "down").withColumn("down1", F.lit(True)), "down", "left")
+    # what the only edge into a unary node and the only one out of it say of it
+    into = e.where("v_unary and u <> v").select(
+        F.col("v").alias("x"), F.struct("u", "via", (~F.col("u_unary") | (rank("v") > rank("u"))).alias("wins")).alias("up"), F.lit(None).alias("down")
     )
-    ok = (F.col("up1").isNull() | (rank("x") > rank("up"))) & (F.col("down1").isNull() | (rank("x") > rank("down")))
-    chosen = trio.where(ok).drop("up1", "down1")
-    picked = chosen.select(F.col("x"))
-    rest = e.join(picked.withColumnRenamed("x", "v"), "v", "left_anti").join(picked.withColumnRenamed("x", "u"), "u", "left_anti")
-    joined = chosen.select(
-        F.col("up").alias("u"), F.col("down").alias("v"), F.concat("via_in", F.array("x"), "via_out").alias("via"), F.lit("E").alias("kind")
+    # a child that is a leaf is raked in this round, so its parent stays
+    out_of = e.where("u_unary and u <> v and not v_leaf").select(
+        F.col("u").alias("x"), F.lit(None).alias("up"), F.struct("v", "via", (~F.col("v_unary") | (rank("u") > rank("v"))).alias("wins")).alias("down")
     )
-    links = chosen.select(F.col("up").alias("u"), F.col("x").alias("v"), F.col("via_in").alias("via"), F.lit("S").alias("kind"))
-    return rest.select("u", "v", "via", F.lit("E").alias("kind")).unionByName(joined).unionByName(links)
+    trio = into.unionByName(out_of).groupBy("x").agg(F.any_value("up", True).alias("up"), F.any_value("down", True).alias("down"))
+    chosen = trio.where("up.wins and down.wins")
+    v_on, u_on = chosen.select(F.col("x").alias("v"), F.lit(True).alias("v_on")), chosen.select(F.col("x").alias("u"), F.lit(True).alias("u_on"))
+    # a chosen node's only edge in is its link, its only edge out goes into the joined one
+    gone = F.col("v_leaf") | F.col("v_on").isNotNull()
+    tagged = e.join(v_on, "v", "left").join(u_on, "u", "left").where(gone | F.col("u_on").isNull())
+    kept = tagged.select("u", "v", "via", F.when(gone, "removed").otherwise("left").alias("kind"))
+    joined = chosen.select(F.col("up.u"), F.col("down.v"), F.concat("up.via", F.array("x"), "down.via").alias("via"), F.lit("left").alias("kind"))
+    return kept.unionByName(joined)
 
 
 def _trim_top(e: DataFrame) -> DataFrame:
     """Without the edges of nodes that nothing leads to: what hangs above a loop is on none."""
-    while True:
-        n = e.count()
-        if not n:
-            return e
+    n = e.count()
+    while n:
         targets = e.select(F.col("v").alias("u")).distinct()
         e = cut(e.join(targets, "u", "left_semi"), "trim")
-        if e.count() == n:
-            return e
-
-
-def _loops_here(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, cycle_id) for a bounded core: strongly connected parts by depth-first search, no recursion."""
-    edges = [(u, v, list(via)) for p in batches for u, v, via in p[["u", "v", "via"]].itertuples(index=False)]
-    below = defaultdict(list)
-    for u, v, _ in edges:
-        below[u].append(v)
-    number, low, part, stack, held = {}, {}, {}, [], set()
-    for first in list(below):
-        if first in number:
-            continue
-        number[first] = low[first] = len(number)
-        stack.append(first)
-        held.add(first)
-        work = [(first, iter(below[first]))]
-        while work:
-            x, rest = work[-1]
-            for y in rest:
-                if y not in number:
-                    number[y] = low[y] = len(number)
-                    stack.append(y)
-                    held.add(y)
-                    work.append((y, iter(below.get(y, ()))))
-                    break
-                if y in held:
-                    low[x] = min(low[x], number[y])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[x])
-                if low[x] == number[x]:
-                    while True:
-                        y = stack.pop()
-                        held.discard(y)
-                        part[y] = x
-                        if y == x:
-                            break
-    members = defaultdict(set)
-    for u, v, via in edges:
-        if part[u] == part[v]:
-            members[part[u]].update((u, v, *via))
-    rows = [(x, min(m)) for m in members.values() for x in m]
-    yield pd.DataFrame(rows, columns=["node", "cycle_id"])
-
-
-def loops(core: DataFrame, max_local: int = MAX_LOCAL) -> DataFrame:
-    """(node, cycle_id) of the core's nodes that lie on a loop.
+        before, n = n, e.count()
+        if n == before:
+            break
+    return e
+
 
-    A core of at most ``max_local`` edges is searched by one task, a larger one by colouring.
+def loops(core: DataFrame) -> DataFrame:
+    """(node, cycle_id) of the core's nodes that lie on a loop.
 
     Colouring: the smallest id that reaches a node and the smallest it reaches; where
     the two agree the node belongs to that id's strongly connected part. Parts found
     are taken out and the rest is coloured again. Spliced nodes on an edge within a
     part belong to the part.
     """
-    if core.count() <= max_local:
-        return cut(core.coalesce(1).mapInPandas(_loops_here, "node string, cycle_id string"), "loops")
     e, found = core, []
     while True:
         e = _trim_top(e)
         if e.isEmpty():
             break
-        ends = e.select("u", "v")
-        ends = cut(ends.distinct(), "ends")
+        ends = cut(e.select("u", "v").distinct(), "ends")
         nodes = ends.select(F.col("u").alias("node")).unionByName(ends.select(F.col("v").alias("node"))).distinct()
         color = cut(nodes.select("node", F.col("node").alias("f"), F.col("node").alias("b")), "color")
         while True:
@@ -254,36 +147,79 @@ class Hierarchy:
     nodes: DataFrame
     cycles: DataFrame
     contraction: Contraction
-    max_local: int = MAX_LOCAL
+
+    def _rounds(self) -> list[DataFrame]:
+        """The removals of all rounds, the loops' inner links left out, the last round first."""
+        removed, core = list(self.contraction.removed), self.contraction.core
+        if not core.isEmpty():
+            removed += contract(cut(_without_loop_edges(core, self.cycles), "core"), len(removed)).removed
+            removed = [_without_loop_edges(r, self.cycles) for r in removed]
+        return removed[::-1]
+
+    def _expand(self, first: tuple[Column, ...], grow, gather=None) -> DataFrame:
+        """Rows of every node from the rows of its parents, round by round backwards.
+
+        The rows of a round's parents are those of the smaller graph that the round left
+        behind, so what is read shrinks with the graph. ``grow`` gives the rows that an edge
+        hands down, ``gather`` unites a node's rows from several parents.
+        """
+        rounds = self._rounds()
+        linked = reduce(DataFrame.unionByName, [r.select(F.col("v").alias("node")) for r in rounds]).distinct() if rounds else None
+        # the first recovered: nodes that were never linked below another one
+        tops = self.nodes.join(linked, "node", "left_anti") if linked is not None else self.nodes
+        got = cut(tops.select("node", *first), "expand")
+        for r in rounds:
+            new = grow(r, got)
+            got = cut(got.unionByName(gather(new) if gather else new), "expand")
+        return got
 
     def paths(self) -> DataFrame:
         """(node, path, depth, root): one row per way from a start down to the node.
 
         A start is a node without (existing) parents; its path is itself, depth 0.
         Links within a loop are not followed, so a loop's members start paths of
-        their own unless reached from outside; such paths have a null root.
+        their own unless reached from outside; such paths have a null root. There are
+        as many rows as ways: where parents multiply them, use ``ancestors``, which is
+        bounded by the pairs of a node and an ancestor.
         """
-        removed, acyclic = list(self.contraction.removed), self.contraction.core
-        if not acyclic.isEmpty():
-            acyclic = cut(_without_loop_edges(acyclic, self.cycles), "core")
-            removed += contract(acyclic, len(removed), self.max_local).removed
-            removed = [_without_loop_edges(r, self.cycles) for r in removed]
-        if not removed:
-            got = self.nodes.select("node", F.array("node").alias("path"))
-            return self._rooted(got)
-        linked = reduce(DataFrame.unionByName, [r.select(F.col("v").alias("node")) for r in removed]).distinct()
-        # the first recovered: nodes that were never linked below another one
-        got = cut(self.nodes.join(linked, "node", "left_anti").select("node", F.array("node").alias("path")), "paths")
-        for r in reversed(removed):
+        def grow(r: DataFrame, got: DataFrame) -> DataFrame:
             up = got.select(F.col("node").alias("u"), F.col("path").alias("head"))
-            new = r.join(up, "u").select(F.col("v").alias("node"), F.concat("head", "via", F.array("v")).alias("path"))
-            got = got.unionByName(cut(new, "paths"))
-        return self._rooted(got)
+            return r.join(up, "u").select(F.col("v").alias("node"), F.concat("head", "via", F.array("v")).alias("path"))
 
-    def _rooted(self, got: DataFrame) -> DataFrame:
+        got = self._expand((F.array("node").alias("path"),), grow)
         out = got.distinct().select("node", "path", (F.size("path") - 1).alias("depth"), F.col("path")[0].alias("start"))
-        on = self.cycles.select(F.col("node").alias("start"), F.lit(True).alias("looped"))
-        return out.join(on, "start", "left").select("node", "path", "depth", F.when(F.col("looped").isNull(), F.col("start")).alias("root"))
+        return self._rooted(out, "start")
+
+    def ancestors(self) -> DataFrame:
+        """(node, ancestor, least, most, ways, root): each node with itself and all above it, once.
+
+        least and most are the numbers of links between them on the shortest and the longest
+        way, ways how many there are (null beyond 64 bits); root is the ancestor where paths
+        start from it and it is on no loop, else null. Loops are treated as in ``paths``.
+        """
+        def grow(r: DataFrame, got: DataFrame) -> DataFrame:
+            up = got.select(F.col("node").alias("u"), "ancestor", "least", "most", "ways")
+            n = F.size("via")
+            above = r.join(up, "u").select(F.col("v").alias("node"), "ancestor", (F.col("least") + n + 1).alias("least"), (F.col("most") + n + 1).alias("most"), "ways")
+            on_edge = r.select(F.col("v").alias("node"), "via", F.posexplode(F.concat("via", F.array("v"))).alias("p", "ancestor"))
+            on_edge = on_edge.where("p < size(via)").unionByName(on_edge.where("p = size(via)").dropDuplicates(["node"]))
+            steps = n - F.col("p")
+            return above.unionByName(on_edge.select("node", "ancestor", steps.alias("least"), steps.alias("most"), F.lit(1).cast("long").alias("ways")))
+
+        def gather(new: DataFrame) -> DataFrame:
+            return new.groupBy("node", "ancestor").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.try_sum("ways").alias("ways"))
+
+        first = (F.col("node").alias("ancestor"), F.lit(0).alias("least"), F.lit(0).alias("most"), F.lit(1).cast("long").alias("ways"))
+        got = self._expand(first, grow, gather)
+        # starts are the nodes that have no ancestor but themselves
+        starts = got.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select(F.col("node").alias("start"))
+        got = got.join(starts, F.col("ancestor") == F.col("start"), "left")
+        return self._rooted(got, "start")
+
+    def _rooted(self, got: DataFrame, start: str) -> DataFrame:
+        on = self.cycles.select(F.col("node").alias(start), F.lit(True).alias("looped"))
+        keep = [c for c in got.columns if c != start]
+        return got.join(on, start, "left").select(*keep, F.when(F.col("looped").isNull(), F.col(start)).alias("root"))
 
 
 def _without_loop_edges(e: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -292,30 +228,34 @@ def _without_loop_edges(e: DataFrame, cycles: DataFrame) -> DataFrame:
     return e.join(cu, "u", "left").join(cv, "v", "left").where("cu is null or cv is null or cu <> cv").select("u", "v", "via")
 
 
-def resolve_hierarchy(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids", max_local: int = MAX_LOCAL) -> Hierarchy:
-    """Contract the parent links of ``df``; ``.cycles`` and ``.paths()`` hold the results.
+def resolve_hierarchy(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> Hierarchy:
+    """Contract the parent links of ``df``; ``.cycles``, ``.paths()`` and ``.ancestors()`` hold the results.
 
     Nulls and blanks among the parents are ignored, a node that is its own parent is
     a loop, an empty table gives empty results.
     """
     nodes, edges = parent_edges(df, id_col, parents_col)
-    c = contract(edges, 0, max_local)
-    return Hierarchy(nodes, loops(c.core, max_local), c, max_local)
+    c = contract(edges)
+    return Hierarchy(nodes, cut(loops(c.core), "cycles"), c)
 
 
-def summarise(paths: DataFrame, cycles: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(context_id, roots, min_depth, max_depth, n_paths, n_descendants, cycle_id) for every node."""
-    own = paths.groupBy("node").agg(
-        F.array_sort(F.collect_set("root")).alias("roots"), F.min("depth").alias("min_depth"), F.max("depth").alias("max_depth"), F.count("*").alias("n_paths")
+def summarise(h: Hierarchy) -> DataFrame:
+    """(context_id, roots, min_depth, max_depth, n_paths, n_descendants, cycle_id) for every node.
+
+    Depths and paths count from the starts; the roots are those starts that are on no loop.
+    """
+    up = cut(h.ancestors(), "ancestors")
+    tops = up.groupBy("node").agg(F.count("*").alias("n")).where("n = 1").select(F.col("node").alias("ancestor"))
+    own = up.join(tops, "ancestor", "left_semi").groupBy("node").agg(
+        F.array_sort(F.collect_set("root")).alias("roots"), F.min("least").alias("min_depth"), F.max("most").alias("max_depth"), F.try_sum("ways").alias("n_paths")
     )
-    below = descendants(paths).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
+    below = descendants(up).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
     return (
-        nodes.join(own, "node", "left").join(below, "node", "left").join(cycles, "node", "left")
-        .select(F.col("node").alias("context_id"), "roots", "min_depth", "max_depth", F.coalesce("n_paths", F.lit(0)).alias("n_paths"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "cycle_id")
+        h.nodes.join(own, "node", "left").join(below, "node", "left").join(h.cycles, "node", "left")
+        .select(F.col("node").alias("context_id"), "roots", "min_depth", "max_depth", "n_paths", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), "cycle_id")
     )
 
 
-def descendants(paths: DataFrame) -> DataFrame:
-    """(ancestor, descendant), each pair once, taken from the paths."""
-    pairs = paths.select(F.explode(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).alias("ancestor"), F.col("node").alias("descendant"))
-    return pairs.distinct()
+def descendants(ancestors: DataFrame) -> DataFrame:
+    """(ancestor, descendant, least, most): all that lies below each node, each pair once."""
+    return ancestors.where("node <> ancestor").select("ancestor", F.col("node").alias("descendant"), "least", "most")

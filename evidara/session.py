@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -40,48 +43,103 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, a laptop) gets a temporary folder.
+    A local session that names none (tests, a laptop) gets a temporary folder; on a
+    cluster that would be another folder on each machine, so there it is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    given = sc._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="evidara-"))
         atexit.register(shutil.rmtree, _OWN_DIR[0], ignore_errors=True)
     return "file://" + _OWN_DIR[0]
 
 
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Delete the intermediate results that ``cut`` wrote after the first ``since`` ones; what reads them must be done."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_WRITTEN) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, ``cut`` writes for a while only: its folders go when the block ends, so write the result inside."""
+    since = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        sweep(spark, since)
+
+
+def _sweep_at_exit(spark: SparkSession) -> None:
+    try:
+        sweep(spark)
+    except Exception:  # the session has ended; a local folder goes with the process, a shared one with the job's folder
+        pass
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` into the shared folder and read it back.
 
     This ends the lineage like ``checkpoint()`` but computes the plan once, keeps
     the result columnar and gives the optimizer its true size. Losing an executor
-    loses nothing: the files are not on it.
+    loses nothing: the files are not on it. They are deleted when the program ends,
+    or at the end of a ``scratch`` block.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/evidara-{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_sweep_at_exit, spark)
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path[5:].replace("///", "/"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with copies that ``records`` may broadcast; beyond it all rows are grouped.
+COPIES = 1_000_000
+#: Columns too wide to shuffle for the sake of a few copies, besides arrays of numbers.
+WIDE = ("text", "embedding")
+
+
+def _is_wide(df: DataFrame) -> bool:
+    return any(f.name in WIDE or f.dataType.simpleString() in ("array<float>", "array<double>") for f in df.schema)
+
+
 def records(df: DataFrame, key: str, arrival: str = "loaded_at") -> DataFrame:
     """One row per record: copies of a key collapse, arrival is the earliest.
 
     Copies differ at most in the arrival, so any of them may give the other
-    columns. Rows without a key are no records and are dropped.
+    columns. Rows without a key are no records and are dropped. Tables of texts or
+    vectors are not shuffled for it: the keys that have copies are counted first, and
+    if they are few (``COPIES``) only their rows are grouped.
     """
+    df = df.where(F.col(key).isNotNull())
+    if not _is_wide(df):
+        return _grouped(df, key, arrival)
+    copies = cut(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "copies")
+    n = copies.count()
+    if n == 0:
+        return df
+    if n > COPIES:
+        return _grouped(df, key, arrival)
+    few = F.broadcast(copies)
+    return df.join(few, key, "left_anti").unionByName(_grouped(df.join(few, key, "left_semi"), key, arrival)).select(*df.columns)
+
+
+def _grouped(df: DataFrame, key: str, arrival: str) -> DataFrame:
     rest = [c for c in df.columns if c not in (key, arrival)]
     aggs = [F.min(arrival).alias(arrival)] if arrival in df.columns else []
     if rest:
         aggs.append(F.any_value(F.struct(*[F.col(c) for c in rest])).alias("_rest"))
     if not aggs:
-        return df.where(F.col(key).isNotNull()).distinct()
-    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(*aggs)
-    names = [c for c in df.columns]
-    return out.select(*[F.col(c) if c in (key, arrival) else F.col(f"_rest.{c}").alias(c) for c in names])
-
-
-def clean_path(path: str) -> str:
-    return os.path.abspath(path) if "://" not in path else path
+        return df.distinct()
+    out = df.groupBy(key).agg(*aggs)
+    return out.select(*[F.col(c) if c in (key, arrival) else F.col(f"_rest.{c}").alias(c) for c in df.columns])
