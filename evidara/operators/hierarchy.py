@@ -22,7 +22,7 @@ from evidara.session import cut
 
 
 def parent_edges(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> tuple[DataFrame, DataFrame]:
-    """(nodes: node), (edges: u parent, v child, via). Parents that do not exist give no edge.
+    """(nodes: node), (edges: u parent, v child, via, k). Parents that do not exist give no edge.
 
     Ids are taken once however many copies they have; null, blank and repeated
     parents count for nothing. Other columns are not read.
@@ -31,7 +31,7 @@ def parent_edges(df: DataFrame, id_col: str = "id", parents_col: str = "parent_i
     nodes = cut(slim.select(F.col("v").alias("node")).distinct(), "nodes")
     pairs = slim.select("v", F.explode("p").alias("u")).select(F.regexp_replace("u", r"^\s+|\s+$", "").alias("u"), "v").distinct()
     edges = pairs.join(nodes.select(F.col("node").alias("u")), "u", "left_semi")
-    return nodes, cut(edges.select("u", "v", F.array().cast("array<string>").alias("via")), "edges")
+    return nodes, cut(edges.select("u", "v", F.array().cast("array<string>").alias("via"), F.lit(0).alias("k")), "edges")
 
 
 @dataclass
@@ -42,19 +42,22 @@ class Contraction:
     removed: list[DataFrame] = field(default_factory=list)
 
 
-def contract(edges: DataFrame, start: int = 0) -> Contraction:
-    """Rake and compress until a round removes nothing."""
-    out, e, k = Contraction(edges), edges, start
+def contract(edges: DataFrame) -> Contraction:
+    """Rake and compress until a round removes nothing.
+
+    The number of the round is a column (k), not a constant of the plan, so that all
+    rounds run the code that the first one compiled.
+    """
+    out, e = Contraction(edges), edges
     while True:
-        step = cut(_round(_with_degrees(e), k), "contract")
+        step = cut(_round(_with_degrees(e)), "contract")
         n = {r["kind"]: r["n"] for r in step.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows
         out.core = e = step.where("kind = 'left'").drop("kind")
         if "removed" not in n:
             return out
-        out.removed.append(step.where("kind = 'removed'").drop("kind"))
+        out.removed.append(step.where("kind = 'removed'").drop("kind", "k"))
         if "left" not in n:
             return out
-        k += 1
 
 
 def _with_degrees(e: DataFrame) -> DataFrame:
@@ -69,12 +72,12 @@ def _with_degrees(e: DataFrame) -> DataFrame:
     return e.join(up, "u").join(down, "v")
 
 
-def _round(e: DataFrame, k: int) -> DataFrame:
-    """(u, v, via, kind): edges that are ``left`` after a round, and the links of the nodes it ``removed``."""
-    rank = lambda c: F.xxhash64(F.lit(k), F.col(c))
+def _round(e: DataFrame) -> DataFrame:
+    """(u, v, via, k, kind): edges that are ``left`` after a round, and the links of the nodes it ``removed``."""
+    rank = lambda c: F.xxhash64("k", c)
     # what the only edge into a unary node and the only one out of it say of it
     into = e.where("v_unary and u <> v").select(
-        F.col("v").alias("x"), F.struct("u", "via", (~F.col("u_unary") | (rank("v") > rank("u"))).alias("wins")).alias("up"), F.lit(None).alias("down")
+        F.col("v").alias("x"), F.struct("u", "via", "k", (~F.col("u_unary") | (rank("v") > rank("u"))).alias("wins")).alias("up"), F.lit(None).alias("down")
     )
     # a child that is a leaf is raked in this round, so its parent stays
     out_of = e.where("u_unary and u <> v and not v_leaf").select(
@@ -86,8 +89,8 @@ def _round(e: DataFrame, k: int) -> DataFrame:
     # a chosen node's only edge in is its link, its only edge out goes into the joined one
     gone = F.col("v_leaf") | F.col("v_on").isNotNull()
     tagged = e.join(v_on, "v", "left").join(u_on, "u", "left").where(gone | F.col("u_on").isNull())
-    kept = tagged.select("u", "v", "via", F.when(gone, "removed").otherwise("left").alias("kind"))
-    joined = chosen.select(F.col("up.u"), F.col("down.v"), F.concat("up.via", F.array("x"), "down.via").alias("via"), F.lit("left").alias("kind"))
+    kept = tagged.select("u", "v", "via", (F.col("k") + 1).alias("k"), F.when(gone, "removed").otherwise("left").alias("kind"))
+    joined = chosen.select(F.col("up.u"), F.col("down.v"), F.concat("up.via", F.array("x"), "down.via").alias("via"), (F.col("up.k") + 1).alias("k"), F.lit("left").alias("kind"))
     return kept.unionByName(joined)
 
 
@@ -152,7 +155,7 @@ class Hierarchy:
         """The removals of all rounds, the loops' inner links left out, the last round first."""
         removed, core = list(self.contraction.removed), self.contraction.core
         if not core.isEmpty():
-            removed += contract(cut(_without_loop_edges(core, self.cycles), "core"), len(removed)).removed
+            removed += contract(cut(_without_loop_edges(core, self.cycles), "core")).removed
             removed = [_without_loop_edges(r, self.cycles) for r in removed]
         return removed[::-1]
 
@@ -225,7 +228,7 @@ class Hierarchy:
 def _without_loop_edges(e: DataFrame, cycles: DataFrame) -> DataFrame:
     cu = cycles.select(F.col("node").alias("u"), F.col("cycle_id").alias("cu"))
     cv = cycles.select(F.col("node").alias("v"), F.col("cycle_id").alias("cv"))
-    return e.join(cu, "u", "left").join(cv, "v", "left").where("cu is null or cv is null or cu <> cv").select("u", "v", "via")
+    return e.join(cu, "u", "left").join(cv, "v", "left").where("cu is null or cv is null or cu <> cv").select(*e.columns)
 
 
 def resolve_hierarchy(df: DataFrame, id_col: str = "id", parents_col: str = "parent_ids") -> Hierarchy:
