@@ -113,16 +113,17 @@ def _is_wide(df: DataFrame) -> bool:
     return any(f.name in WIDE or f.dataType.simpleString() in ("array<float>", "array<double>") for f in df.schema)
 
 
-def records(df: DataFrame, key: str, arrival: str = "loaded_at") -> DataFrame:
+def records(df: DataFrame, key: str, arrival: str = "loaded_at", few: bool = False) -> DataFrame:
     """One row per record: copies of a key collapse, arrival is the earliest.
 
     Copies differ at most in the arrival, so any of them may give the other
     columns. Rows without a key are no records and are dropped. Tables of texts or
     vectors are not shuffled for it: the keys that have copies are counted first, and
-    if they are few (``COPIES``) only their rows are grouped.
+    if they are few (``COPIES``) only their rows are grouped. ``few`` says that ``df`` is
+    a small rest of its table, for which counting first would cost more than it saves.
     """
     df = df.where(F.col(key).isNotNull())
-    if not _is_wide(df):
+    if few or not _is_wide(df):
         return _grouped(df, key, arrival)
     copies = cut(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "copies")
     n = copies.count()
