@@ -57,26 +57,36 @@ def _forest(order: dict[str, int], pairs: Iterator[tuple[str, str]]) -> dict[str
     return {x: root(x) for x in up}
 
 
-def _local_forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning forest of a partition as stars: (x, xh, xm, r, rh, rm), one row a vertex.
+def _local_forests(max_edges: int):
+    """Spanning forests of a partition's edges, at most about ``max_edges`` at a time, as stars: (x, xh, xm, r, rh, rm), one row a vertex.
 
-    h is a vertex' rank on this level, m the least record it stands for.
+    h is a vertex' rank on this level, m the least record it stands for. A task that has
+    more edges gives out the forest of what it holds and starts another one.
     """
-    order: dict[str, int] = {}
-    least: dict[str, str] = {}
-    pairs: list[tuple[str, str]] = []
-    for p in batches:
-        for a, ah, am, b, bh, bm in p[["a", "ah", "am", "b", "bh", "bm"]].itertuples(index=False):
-            order[a], order[b], least[a], least[b] = ah, bh, am, bm
-            pairs.append((a, b))
-    roots = _forest(order, iter(pairs))
-    rows = list(roots.items())
-    for i in range(0, len(rows), 20_000):
-        part = rows[i : i + 20_000]
-        yield pd.DataFrame(
-            {"x": [x for x, _ in part], "xh": [order[x] for x, _ in part], "xm": [least[x] for x, _ in part],
-             "r": [r for _, r in part], "rh": [order[r] for _, r in part], "rm": [least[r] for _, r in part]}
-        )
+
+    def stars(order: dict[str, int], least: dict[str, str], pairs: list[tuple[str, str]]) -> Iterator[pd.DataFrame]:
+        rows = list(_forest(order, iter(pairs)).items())
+        for i in range(0, len(rows), 20_000):
+            part = rows[i : i + 20_000]
+            yield pd.DataFrame(
+                {"x": [x for x, _ in part], "xh": [order[x] for x, _ in part], "xm": [least[x] for x, _ in part],
+                 "r": [r for _, r in part], "rh": [order[r] for _, r in part], "rm": [least[r] for _, r in part]}
+            )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order: dict[str, int] = {}
+        least: dict[str, str] = {}
+        pairs: list[tuple[str, str]] = []
+        for p in batches:
+            for a, ah, am, b, bh, bm in p[["a", "ah", "am", "b", "bh", "bm"]].itertuples(index=False):
+                order[a], order[b], least[a], least[b] = ah, bh, am, bm
+                pairs.append((a, b))
+                if len(pairs) >= max_edges:
+                    yield from stars(order, least, pairs)
+                    order, least, pairs = {}, {}, []
+        yield from stars(order, least, pairs)
+
+    return run
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +118,7 @@ def connected_groups(pairs: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     level = 0
     rank = lambda c: F.xxhash64(F.lit(level), F.col(c))
     edges = pairs.where("a is not null and b is not null and a <> b").select("a", F.col("a").alias("am"), "b", F.col("b").alias("bm"))
-    # on the first level each scan partition is an edge partition: nothing is shuffled before its forest is found
+    # on the first level the scan partitions are taken as they are, in runs of max_edges: nothing is shuffled before a forest is found
     moves: list[DataFrame] = []
     while True:
         ranked = edges.withColumn("ah", rank("a")).withColumn("bh", rank("b"))
@@ -118,7 +128,7 @@ def connected_groups(pairs: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
                 last = cut(edges.coalesce(1).mapInPandas(_finish, "x string, group_id string"), "last")
                 break
             ranked = ranked.repartition(math.ceil(n / max_edges), "a", "b")
-        stars = cut(ranked.mapInPandas(_local_forests, STAR), "forest")
+        stars = cut(ranked.mapInPandas(_local_forests(max_edges), STAR), "forest")
         # each vertex moves to the least of its local roots; a root counts as its own
         best = stars.groupBy("x").agg(
             F.min(F.struct(F.col("rh").alias("h"), F.col("r").alias("v"))).alias("to"), F.min("rm").alias("rm"), F.min("xm").alias("xm")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import hashlib
 import os
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,19 +35,20 @@ RANK_ROWS = 200_000
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(path: str):
-    if path not in _ENCODERS:
+def encoder(ranks: bytes):
+    """The tokenizer of a rank file's contents, made once in each worker."""
+    name = hashlib.sha256(ranks).hexdigest()
+    if name not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _ENCODERS[name] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return _ENCODERS[name]
 
 
-def _count_tokens(path: str):
+def _count_tokens(ranks_b):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder(ranks_b.value)
         for p in batches:
             yield pd.DataFrame({"doc_id": p.doc_id, "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in p.text]})
 
@@ -54,9 +56,14 @@ def _count_tokens(path: str):
 
 
 def token_sizes(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens) by a public tokenizer; a null or empty text has 0 tokens."""
-    path = tokenizer or os.path.join(TOKENIZER_DIR, TOKENIZER_FILE)
-    return docs.select("doc_id", "text").mapInPandas(_count_tokens(path), "doc_id long, n_tokens long")
+    """(doc_id, n_tokens) by a public tokenizer; a null or empty text has 0 tokens.
+
+    The rank file (``tokenizer``, under a megabyte) is read by the driver and sent to the
+    executors, which need not have it.
+    """
+    with open(tokenizer or os.path.join(TOKENIZER_DIR, TOKENIZER_FILE), "rb") as f:
+        ranks_b = docs.sparkSession.sparkContext.broadcast(f.read())
+    return docs.select("doc_id", "text").mapInPandas(_count_tokens(ranks_b), "doc_id long, n_tokens long")
 
 
 def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
@@ -177,3 +184,16 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | N
         "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("token_from"), "n_tokens", F.lit(None).cast("long").alias("container_id")
     )
     return packed.unionByName(blank)
+
+
+def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: containers, items, most_used, share_filled, and least_containers, a bound that no packing can go below.
+
+    The bound is the greater of the total size over the capacity and the number of items
+    above half of it. No items: no containers, a null share.
+    """
+    p = packed.where("container_id is not null")
+    c = p.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"), F.count_if(F.col("n_tokens") * 2 > capacity).alias("halves"))
+    share = F.round(F.sum("used") / (F.count("*") * capacity), 4)
+    least = F.greatest(F.ceil(F.sum("used") / capacity), F.sum("halves"))
+    return c.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.max("used").alias("most_used"), share.alias("share_filled"), least.alias("least_containers"))

@@ -59,10 +59,21 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    p = packing.pack_documents(table(spark, d, "documents")).where("container_id is not null")
-    c = p.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
-    share = F.round(F.sum("used") / (F.count("*") * packing.CAPACITY), 4)
-    return c.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.max("used").alias("most_used"), share.alias("share_filled"))
+    return packing.fill_report(packing.pack_documents(table(spark, d, "documents")))
+
+
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """(rule, n): documents, blank ones, containers over capacity, texts cut though they fit, texts not whole; the last three are 0."""
+    docs = table(spark, d, "documents")
+    p = packing.pack_documents(docs)
+    per = p.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("got"), F.max("container_id").isNull().alias("blank"))
+    whole = per.join(packing.token_sizes(docs), "doc_id", "full")
+    over = p.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).where(f"container_id is not null and used > {packing.CAPACITY}")
+    rules = {
+        "documents": per, "blank": per.where("blank"), "over_capacity": over, "cut_though_fitting": whole.where(f"pieces > 1 and n_tokens <= {packing.CAPACITY}"),
+        "not_whole": whole.where("not (got <=> n_tokens)"),
+    }
+    return reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n")).select(F.lit(k).alias("rule"), "n") for k, x in rules.items()])
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +94,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_unmatched, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p7_found, p7_neighbours, p8_containers, p8_fill, p9_found, p9_paraphrases, p10_found, p10_restored)
+    for f in (p1_found, p1_unmatched, p2_found, p2_paragraphs, p3_found, p3_pieces, p4_found, p7_found, p7_neighbours, p8_containers, p8_fill, p8_invariants, p9_found, p9_paraphrases, p10_found, p10_restored)
 }
 
 SQL = {
@@ -105,6 +116,9 @@ SQL = {
         u as (select field, id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))::double[64] as v from v where list_dot_product(v, v) > 0)
         select a.field, a.id as left_id, b.id as right_id from u a join u b on a.field = b.field and a.id < b.id
         where array_inner_product(a.v, b.v) >= 0.9""",
+    "p8_invariants": """
+        select 'documents' as rule, count(*) as n from documents union all select 'blank', count(*) from documents where coalesce(text, '') = ''
+        union all select * from (values ('over_capacity', 0), ('cut_though_fitting', 0), ('not_whole', 0)) v(rule, n)""",
     "p9_found": """
         with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
         i as (select item_id, regexp_extract_all(lower(question), '[\\p{L}\\p{N}]+') as w from eval_items

@@ -6,16 +6,21 @@ across lines and blocks; a word cut at a line's end is told from a compound by w
 the two the corpus writes. Misread words are looked up with Levenshtein automata run over
 a trie of the corpus' own vocabulary, which returns every word within two edits; which
 replacements are misreadings is learned from the papers whose words hold stray digits.
+Candidates are then ranked for each occurrence by its neighbours: by how often the corpus
+writes the candidate after the word before and before the word after. A form that is
+itself a word counts as misread only where its neighbours say so.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -25,8 +30,8 @@ from evidara.session import cut, records
 
 #: Hyphens that a line may end with: plain, Unicode, soft, and the not sign that scanners put for them (fixed values).
 HYPHENS = "-‐¬­"
-#: A word enters the vocabulary with so many uses; it explains one that is so many times rarer.
-VOCABULARY_USES, RARER = 8, 10
+#: A word explains another one that is so many times rarer, in the corpus or between the same neighbours.
+RARER = 10
 #: Words of one trie; a larger vocabulary is searched shard by shard.
 TRIE_WORDS = 50_000
 #: A misreading is at least so many times as frequent in noisy papers as elsewhere.
@@ -38,7 +43,13 @@ RECURS = 0.08
 NO_TEXT = ("equation", "table")
 #: A replacement that needs no further support: a digit within a word that has none.
 DIGIT_FOR_LETTER = "[0-9].*>[^0-9]+$"
+#: The reverse: a letter within a number.
+LETTER_FOR_DIGIT = "^[a-z]>[0-9]$"
 WORD = re.compile(r"[^\W_]+")
+#: Letters that are misread for digits, in lower case, and the digits (fixed values).
+LETTERS, FIGURES = "liosbz", "110582"
+#: Bits of the filter that says which words one pass over the text has to look at.
+FILTER_BITS = 1 << 22
 
 
 def _number(c: Column) -> Column:
@@ -83,7 +94,7 @@ def furniture(b: DataFrame) -> DataFrame:
     pages = numbered.where(sure | plain).select("block_id", "line", F.lit("page_number").alias("kind"))
 
     # running headers: lines that recur in the paper
-    rest = lines.where(r"form is null and length(key) between 8 and 150 and not t rlike '[.,;:\\-‐¬­]\\s*$'")
+    rest = lines.where(r"form is null and key <> '' and not t rlike '[.,;:\\-‐¬­]\\s*$'")
     capital = F.regexp_count("t", F.lit(r"\b[\p{Lu}]")) / F.greatest(F.lit(1), F.regexp_count("t", F.lit(r"\b\p{L}[\p{L}\p{N}]{3,}")))
     looks = (capital >= 0.6) | F.col("t").rlike(r"\||\(\d{4}\)|\s{3}|(?i)\bet al\b")
     body = rest.where(~F.col("block_type").isin(*NO_TEXT))
@@ -95,9 +106,6 @@ def furniture(b: DataFrame) -> DataFrame:
     own = cut(own, "headers")
     # a header that several papers carry is known even where a paper shows it once
     shared = own.groupBy("key").agg(F.count("*").alias("papers")).where("papers >= 3").select("key")
-    # the paper's own short title, as a line of its own
-    title = b.where("block_type = 'title' and text is not null").select("paper_id", F.explode(F.split("text", r"\r?\n")).alias("t"))
-    title = title.select("paper_id", F.explode(F.array(F.regexp_extract(_key(F.col("t")), r"^(.{12,}?) (?:at|near) ", 1), F.regexp_extract(_key(F.col("t")), r"^(.{12,}? over .+?) (?:at|near) ", 1))).alias("short")).where("short <> ''").distinct()
     exact = body.join(own, ["paper_id", "key"], "left_semi").where(alone | looks)
     common = rest.join(shared, "key", "left_semi")
     # such a header with an author or a title before or after it
@@ -105,15 +113,14 @@ def furniture(b: DataFrame) -> DataFrame:
     parts = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(w) - 1)), lambda i: F.array(F.array_join(F.slice(w, 1, i), " "), F.array_join(F.slice(w, -i, i), " ")))
     longer = body.where(looks & (F.size(w) > 2) & (F.col("block_type") != "reference")).withColumn("part", F.explode(F.array_distinct(F.flatten(parts))))
     longer = longer.join(shared.where("length(key) >= 12").withColumnRenamed("key", "part"), "part", "left_semi")
-    styled = body.where(looks & (F.col("block_type") != "title"))
-    titled = styled.join(title, "paper_id").where(F.col("key").contains(F.col("short")) | ((F.levenshtein(F.substring("key", 1, 200), F.col("short"), 5) >= 0) & (F.levenshtein(F.substring("key", 1, 200), F.col("short"), 5) <= F.length("short") / 6)))
-    # a misread header: few letters off one of the paper's headers
+    # a misread header: few letters off one of the paper's headers. A header fills its share of the pages,
+    # so a paper has at most as many as a page has lines over that share, however large it is
     most = F.floor(F.length("known") / 5)
     close = body.where(alone | looks).join(own.select("paper_id", F.col("key").alias("known")), "paper_id").where(
         (F.abs(F.length("key") - F.length("known")) <= most) & (F.levenshtein("key", "known") <= most)
     )
     in_table = rest.where(F.col("block_type").isin(*NO_TEXT)).join(own, ["paper_id", "key"], "left_semi")
-    heads = [x.select("block_id", "line") for x in (exact, common, longer, titled, close, in_table)]
+    heads = [x.select("block_id", "line") for x in (exact, common, longer, close, in_table)]
     head = heads[0]
     for h in heads[1:]:
         head = head.unionByName(h)
@@ -182,7 +189,7 @@ def cuts(lines: DataFrame, counts: DataFrame) -> DataFrame:
     for c in ("joined", "compound", "left", "right"):
         h = h.join(total.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left").fillna({f"n_{c}": 0})
     letters = ~F.col("raw").rlike(r"[\p{N}\p{Lu}]")
-    known = (F.col("n_left") >= VOCABULARY_USES) & (F.col("n_right") >= VOCABULARY_USES)
+    known = (F.col("n_left") >= RARER) & (F.col("n_right") >= RARER)
     is_cut = F.when(F.col("n_joined") != F.col("n_compound"), F.col("n_joined") > F.col("n_compound")).otherwise(letters & ~known)
     return h.where(is_cut).select("block_id", "line", F.col("joined").alias("word"))
 
@@ -256,6 +263,9 @@ def replacements(wrong: str, right: str) -> list[str] | None:
     return [f"{x}>{y}" for x, y in ops] if all(0 < len(x) <= 2 and 0 < len(y) <= 2 for x, y in ops) else None
 
 
+CANDIDATE = "word string, n long, right string, n_right long, ops array<string>"
+
+
 def _lookup(tries_b):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trie, uses = tries_b.value
@@ -263,17 +273,48 @@ def _lookup(tries_b):
             rows = []
             for w, n in zip(p.word, p.n, strict=True):
                 for v in trie.within(w, 2 if len(w) > 3 else 1):
-                    if uses[v] >= RARER * n:
+                    if uses[v] >= n and v != w:
                         ops = replacements(w, v)  # a misread character leaves something in its place
                         if ops:
-                            rows.append((w, v, uses[v], ops))
-            yield pd.DataFrame(rows, columns=["word", "right", "n_right", "ops"])
+                            rows.append((w, n, v, uses[v], ops))
+            yield pd.DataFrame(rows, columns=["word", "n", "right", "n_right", "ops"])
 
     return run
 
 
-def _commoner(plain: DataFrame, found: DataFrame, signs: DataFrame, least: int) -> DataFrame:
-    """Candidates all of whose replacements are much commoner in the papers that show the signs."""
+def candidates(total: DataFrame) -> DataFrame:
+    """(word, n, right, n_right, ops): the words within reach of each word that are at least as common, and the numbers that digits with letters among them may be.
+
+    ``total``: word, n. The vocabulary is worked on shard by shard; each shard's finds are
+    written before the next one is sent out. Words of digits are no part of it.
+    """
+    sc = total.sparkSession.sparkContext
+    # whatever explains a word at all has RARER uses
+    vocabulary = cut(total.where((F.col("n") >= RARER) & ~F.col("word").rlike(r"\d")), "vocabulary")
+    shards = max(1, math.ceil(vocabulary.count() / TRIE_WORDS))
+    asked = total.where(F.regexp_count("word", F.lit(r"\p{L}")) >= F.when(F.length("word") < 3, 1).otherwise(2))
+    asked = asked.repartition(max(8, sc.defaultParallelism * 2), "word")
+    found = None
+    for s in range(shards):
+        words = {r["word"]: r["n"] for r in vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == s).collect()}  # at most about TRIE_WORDS
+        tries_b = sc.broadcast((Trie(list(words)), words))
+        part = cut(asked.mapInPandas(_lookup(tries_b), CANDIDATE), "candidates")
+        tries_b.destroy()
+        found = part if found is None else found.unionByName(part)
+    # numbers: at least two digits, no more look-alike letters than digits
+    shape = F.col("word").rlike(f"^[0-9{LETTERS}]+$") & (F.regexp_count("word", F.lit("[0-9]")) >= F.greatest(F.lit(2), F.regexp_count("word", F.lit("[a-z]")))) & F.col("word").rlike("[a-z]")
+    figure = F.translate("word", LETTERS, FIGURES)
+    letters = F.array_distinct(F.filter(F.split("word", ""), lambda c: c.rlike("[a-z]")))
+    numbers = total.where(shape).select("word", "n", figure.alias("right"), F.transform(letters, lambda c: F.concat(c, F.lit(">"), F.translate(c, LETTERS, FIGURES))).alias("ops"))
+    uses = total.select(F.col("word").alias("right"), F.col("n").alias("n_right"))
+    return found.unionByName(numbers.join(uses, "right", "left").fillna({"n_right": 0}).select("word", "n", "right", "n_right", "ops"))
+
+
+def _commoner(plain: DataFrame, found: DataFrame, signs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(word, right, n, n_right, k, words, sure) all of whose replacements are much commoner in the papers that show the signs; and those papers.
+
+    ``sure``: the word is RARER times rarer than what it stands for and no word of quiet papers.
+    """
     marked = plain.join(signs.withColumn("sign", F.lit(1)), "word", "left").groupBy("paper_id")
     share = marked.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("sign") == 1, F.col("n")).otherwise(0)).alias("signs"))
     noisy = cut(share.select("paper_id", "all", ((F.col("signs") >= least) & (F.col("signs") / F.col("all") >= NOISY_SHARE)).alias("noisy")), "noisy")
@@ -283,51 +324,127 @@ def _commoner(plain: DataFrame, found: DataFrame, signs: DataFrame, least: int)
         F.sum(F.when(F.col("noisy"), F.col("n")).otherwise(0)).alias("in_noisy"), F.sum(F.when(~F.col("noisy"), F.col("n")).otherwise(0)).alias("in_clean"),
         F.sum("low").alias("low"),
     )
-    cand = cut(found.join(where, "word"), "cand")
+    rare = (F.col("n_right") >= RARER * F.col("n")) | F.col("right").rlike("^[0-9]+$")
+    cand = cut(found.withColumn("rare", rare).join(where, "word"), "cand")
     more = lambda a, b: F.col(a) / n_noisy >= NOISY * F.col(b) / n_clean
     # names are built from the same syllables: they show nothing about characters
-    single = cand.where("size(ops) = 1 and low > 0").groupBy(F.col("ops")[0].alias("op"))
-    ways = single.agg(F.count_distinct("word").alias("words"), F.sum("in_noisy").alias("wn"), F.sum("in_clean").alias("wc")).where(((F.col("words") >= 3) | F.col("op").rlike(DIGIT_FOR_LETTER)) & more("wn", "wc"))
+    single = cand.where("rare and size(ops) = 1 and low > 0").groupBy(F.col("ops")[0].alias("op"))
+    ways = single.agg(F.count_distinct("word").alias("words"), F.sum("in_noisy").alias("wn"), F.sum("in_clean").alias("wc")).where(((F.col("words") >= 3) | F.col("op").rlike(DIGIT_FOR_LETTER) | F.col("op").rlike(LETTER_FOR_DIGIT)) & more("wn", "wc"))
     # a rare word may stand in any paper; one that is usual in quiet papers is a word
-    steps = cand.where(more("in_noisy", "in_clean") | (F.col("in_clean") <= 2)).select("word", "right", "n_right", F.size("ops").alias("k"), F.explode("ops").alias("op")).join(ways.select("op", "words"), "op")
-    return steps.groupBy("word", "right", "n_right", "k").agg(F.count("*").alias("known"), F.min("words").alias("words")).where("known = k")
+    sure = F.col("rare") & (more("in_noisy", "in_clean") | (F.col("in_clean") <= 2))
+    steps = cand.select("word", "right", "n", "n_right", sure.alias("sure"), F.size("ops").alias("k"), F.explode("ops").alias("op")).join(ways.select("op", "words"), "op")
+    ok = steps.groupBy("word", "right", "n", "n_right", "k", "sure").agg(F.count("*").alias("known"), F.min("words").alias("words")).where("known = k")
+    return ok, noisy.where("noisy").select("paper_id")
 
 
-def misreadings(counts: DataFrame) -> DataFrame:
-    """(word, right): misread words and what they stand for, from the words' counts by paper."""
-    sc = counts.sparkSession.sparkContext
-    plain = counts.where(r"not word rlike '-' and length(word) >= 3 and word rlike '\\p{L}'")
-    total = cut(plain.groupBy("word").agg(F.sum("n").alias("n")), "totals")
-    vocabulary = total.where((F.col("n") >= VOCABULARY_USES) & ~F.col("word").rlike(r"\d"))
-    shards = max(1, math.ceil(vocabulary.count() / TRIE_WORDS))
-    top = total.agg(F.max("n")).first()[0] or 0
-    asked = total.where(F.col("n") * RARER <= top).where(F.regexp_count("word", F.lit(r"\p{L}")) >= 2).repartition(max(8, sc.defaultParallelism * 2), "word")
-    found = None
-    for s in range(shards):
-        words = {r["word"]: r["n"] for r in vocabulary.where(F.pmod(F.xxhash64("word"), F.lit(shards)) == s).collect()}  # at most about TRIE_WORDS
-        part = asked.mapInPandas(_lookup(sc.broadcast((Trie(list(words)), words))), "word string, right string, n_right long, ops array<string>")
-        found = part if found is None else found.unionByName(part)
-    found = cut(found, "candidates")
+def misreadings(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, right, n, n_right, k, words, sure): what words may be misread from; and the noisy papers. From the words' counts by paper.
+
+    Rows that are not ``sure`` need the evidence of an occurrence's neighbours.
+    """
+    plain = counts.where(r"not word rlike '-' and word rlike '\\p{L}'")
+    total = cut(plain.groupBy("word").agg(F.sum("n").alias("n")).unionByName(counts.where("word rlike '^[0-9]+$'").groupBy("word").agg(F.sum("n").alias("n"))), "totals")
+    found = cut(candidates(total), "found")
 
     # a digit within a word that has none is a sure sign: papers that show it are noisy. What is
     # commoner there than elsewhere is a misreading, and shows which other papers are noisy
-    signs = found.where(F.exists("ops", lambda x: x.rlike(DIGIT_FOR_LETTER))).select("word").distinct()
-    ok = _commoner(plain, found, signs, 1)
-    ok = cut(_commoner(plain, found, cut(ok.select("word").distinct().union(signs).distinct(), "signs"), 2), "ok")
+    signs = found.where((F.col("n_right") >= RARER * F.col("n")) & F.exists("ops", lambda x: x.rlike(DIGIT_FOR_LETTER))).select("word").distinct()
+    ok, _ = _commoner(plain, found, signs, 1)
+    ok, noisy = _commoner(plain, found, cut(ok.where("sure").select("word").distinct().union(signs).distinct(), "signs"), 2)
+    ok = cut(ok, "ok")
     # a word that is always capital may be a name: then the name it stands for is in the same paper
     names = plain.groupBy("word").agg(F.sum("low").alias("low")).where("low = 0").select("word", F.lit(True).alias("name"))
     named = ok.join(names, "word").select("word", "right").join(plain.select("word", "paper_id"), "word")
     named = named.join(plain.select(F.col("word").alias("right"), "paper_id"), ["right", "paper_id"], "left_semi").select("word", "right").distinct()
-    ok = ok.join(names, "word", "left_anti").unionByName(ok.join(named, ["word", "right"], "left_semi"))
-    # one misreading ranks before two, then the one seen with most words, then the commoner word
-    best = F.struct(-F.col("k"), F.col("words") * F.log1p("n_right"), "right")
-    return ok.groupBy("word").agg(F.max_by("right", best).alias("right"))
+    return cut(ok.join(names, "word", "left_anti").unionByName(ok.join(named, ["word", "right"], "left_semi")), "misread"), noisy
 
 
-def _block_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        rows = [(b, w) for b, lines in zip(p.block_id, p.lines, strict=True) for w in {w.lower() for w in line_words(lines)} if len(w) >= 3]
-        yield pd.DataFrame(rows, columns=["block_id", "word"])
+def _bit(c: Column) -> Column:
+    return F.pmod(F.crc32(c.cast("binary")), F.lit(FILTER_BITS)).cast("int")
+
+
+def word_filter(words: DataFrame) -> np.ndarray:
+    """A bit for the hash of each of the words: FILTER_BITS bits, whatever their number. Strangers may share a bit; joins settle that."""
+    per = words.select(_bit(F.col("word")).alias("b")).groupBy(F.floor(F.col("b") / 512).alias("at")).agg(F.collect_set(F.col("b") % 512).alias("on"))
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for r in per.toLocalIterator():  # at most FILTER_BITS numbers in all
+        bits[r["at"] * 512 + np.array(r["on"])] = True
+    return np.packbits(bits)
+
+
+OCCURRENCE = "block_id string, word string, before string, after string, n long"
+
+
+def _occurrences(filters_b):
+    """Occurrences of suspected words with their neighbours, and counts of the neighbourhoods of what they may stand for (no block)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        suspect, right = (np.unpackbits(f).astype(bool) for f in filters_b.value)
+        known: dict[str, tuple[bool, bool]] = {}
+
+        def kind(w: str) -> tuple[bool, bool]:
+            k = known.get(w)
+            if k is None:
+                h = zlib.crc32(w.encode()) % FILTER_BITS
+                k = known[w] = (bool(suspect[h]), bool(right[h]))
+            return k
+
+        for p in batches:
+            rows, near = [], Counter()
+            if len(known) > 500_000:
+                known.clear()
+            for b, lines in zip(p.block_id, p.lines, strict=True):
+                ws = [w.lower() for w in line_words(lines)]
+                last = len(ws) - 1
+                for i, w in enumerate(ws):
+                    asked, answer = kind(w)
+                    if asked or answer:
+                        before, after = ws[i - 1] if i else "", ws[i + 1] if i < last else ""
+                        if asked:
+                            rows.append((b, w, before, after, 1))
+                        near[(w, before, None)] += 1
+                        near[(w, None, after)] += 1
+            rows += [(None, *k, n) for k, n in near.items()]
+            yield pd.DataFrame(rows, columns=["block_id", "word", "before", "after", "n"])
+
+    return run
+
+
+def in_context(text: DataFrame, cuts: DataFrame, ok: DataFrame, noisy: DataFrame) -> DataFrame:
+    """(block_id, word, before, after, right, sure): the misread occurrences and what stands there, judged by their neighbours.
+
+    Sure misreadings are ranked by the neighbours and the commonness of what they may stand
+    for. A form that is a word is misread only in a noisy paper, and only where the corpus
+    writes the other word RARER times as often between the same neighbours.
+    """
+    sc = text.sparkSession.sparkContext
+    filters_b = sc.broadcast((word_filter(ok.select("word").distinct()), word_filter(ok.select(F.col("right").alias("word")).distinct())))
+    seen = cut(text.select("block_id", "lines").mapInPandas(_occurrences(filters_b), OCCURRENCE), "occurrences")
+    filters_b.destroy()
+    near = seen.where("block_id is null").groupBy("word", "before", "after").agg(F.sum("n").alias("n"))
+    left = cut(near.where("before is not null").select("word", "before", "n"), "left")
+    right = cut(near.where("after is not null").select("word", "after", "n"), "right")
+    # words that a line's end cut in two stand without known neighbours
+    none = F.lit("")
+    own = seen.where("block_id is not null").select("block_id", "word", "before", "after").unionByName(cuts.select("block_id", "word", none.alias("before"), none.alias("after")))
+    papers = text.select("block_id", "paper_id").join(noisy.withColumn("noisy", F.lit(True)), "paper_id", "left").select("block_id", F.coalesce("noisy", F.lit(False)).alias("noisy"))
+    own = cut(own.join(ok.select("word").distinct(), "word", "left_semi").distinct().join(papers, "block_id"), "suspects")
+    at = own.select("word", "before", "after").distinct()
+    x = at.join(ok, "word")
+    with_left = lambda df, w, n: df.join(left.select(F.col("word").alias(w), "before", F.col("n").alias(n)), [w, "before"], "left")
+    with_right = lambda df, w, n: df.join(right.select(F.col("word").alias(w), "after", F.col("n").alias(n)), [w, "after"], "left")
+    x = with_right(with_left(x, "right", "rl"), "right", "rr")
+    x = with_right(with_left(x, "word", "wl"), "word", "wr").fillna(0, ["rl", "rr", "wl", "wr"])
+    # at a block's edge an empty neighbour tells nothing
+    told = lambda c, n: F.when(F.col(c) == "", 0).otherwise(F.col(n))
+    theirs, mine = told("before", "rl") + told("after", "rr"), told("before", "wl") + told("after", "wr")
+    x = x.withColumn("evident", (theirs >= RARER) & (theirs >= RARER * mine) & (told("before", "rl") > 0) & (told("after", "rr") > 0))
+    x = x.where("sure or evident")
+    # one misreading ranks before two, then the neighbours speak, then the replacement seen with most words and the commoner word
+    rank = F.struct(F.col("sure"), -F.col("k"), F.log1p(theirs) + F.log1p(F.col("words") * F.log1p("n_right")), F.col("right"))
+    best = x.groupBy("word", "before", "after").agg(F.max_by(F.struct("right", "sure"), rank).alias("b"))
+    got = own.join(best, ["word", "before", "after"]).where("b.sure or noisy")
+    return got.select("block_id", "word", "before", "after", F.col("b.right").alias("right"), F.col("b.sure").alias("sure"))
 
 
 class Scan:
@@ -342,13 +459,12 @@ class Scan:
         self.counts = cut(seen, "counts")
         self.cuts = cut(cuts(self.lines, self.counts), "cuts")
         whole = self.cuts.join(self.blocks.select("block_id", "paper_id"), "block_id").groupBy("paper_id", "word").agg(F.count("*").alias("n"), F.count("*").alias("low"))
-        self.misread = cut(misreadings(self.counts.unionByName(whole).groupBy("paper_id", "word").agg(F.sum("n").alias("n"), F.sum("low").alias("low"))), "misread")
-        self.text = text
+        ok, noisy = misreadings(self.counts.unionByName(whole).groupBy("paper_id", "word").agg(F.sum("n").alias("n"), F.sum("low").alias("low")))
+        self.misread = cut(in_context(text, self.cuts, ok, noisy), "context")
 
     def defects(self) -> DataFrame:
         """(block_id, defect), each once."""
-        words = self.text.select("block_id", "lines").mapInPandas(_block_words, "block_id string, word string").unionByName(self.cuts.select("block_id", "word"))
-        wrong = words.join(self.misread.select("word"), "word", "left_semi").select("block_id", F.lit("ocr").alias("defect"))
+        wrong = self.misread.select("block_id", F.lit("ocr").alias("defect"))
         kinds = self.furniture.select("block_id", F.col("kind").alias("defect"))
         return kinds.unionByName(self.cuts.select("block_id", F.lit("hyphen").alias("defect"))).unionByName(wrong).distinct()
 
@@ -360,8 +476,7 @@ class Scan:
         the next starts in lower case. Tables and equations keep their lines.
         """
         per_cut = self.cuts.groupBy("block_id").agg(F.collect_set("line").alias("cut_lines"))
-        wrong = self.text.select("block_id", "lines").mapInPandas(_block_words, "block_id string, word string").unionByName(self.cuts.select("block_id", "word"))
-        fixes = wrong.join(self.misread, "word").groupBy("block_id").agg(F.collect_set(F.struct("word", "right")).alias("fixes"))
+        fixes = self.misread.groupBy("block_id").agg(F.collect_set(F.struct("word", "before", "after", "right", "sure")).alias("fixes"))
         own = self.lines.join(per_cut, "block_id", "left").join(fixes, "block_id", "left")
         done = own.select("block_id", "paper_id", "order_", "block_type", "next_line", "next_type", "lines", "cut_lines", "fixes").mapInPandas(
             _reflow, "block_id string, paper_id string, order_ int, text string, runs_on boolean"
@@ -385,6 +500,18 @@ def _cased(right: str, like: str) -> str:
     return right.upper() if like.isupper() and len(like) > 1 else right.capitalize() if like[:1].isupper() else right
 
 
+def _corrected(text: str, fix: dict[tuple[str, str, str], str], alone: dict[str, str]) -> str:
+    found = list(WORD.finditer(text))
+    ws = ["", *(m[0].lower() for m in found), ""]
+    out, at = [], 0
+    for i, m in enumerate(found, 1):
+        right = fix.get((ws[i], ws[i - 1], ws[i + 1])) or alone.get(ws[i])
+        if right:
+            out += [text[at : m.start()], _cased(right, m[0])]
+            at = m.end()
+    return "".join([*out, text[at:]])
+
+
 def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         rows = []
@@ -394,7 +521,10 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((r.block_id, r.paper_id, r.order_, "\n".join(lines), False))
                 continue
             off = set(r.cut_lines) if r.cut_lines is not None else set()
-            fix = {x["word"]: x["right"] for x in r.fixes} if r.fixes is not None else {}
+            fixes = list(r.fixes) if r.fixes is not None else []
+            fix = {(x["word"], x["before"], x["after"]): x["right"] for x in fixes}
+            # next to a word that was cut in two the neighbours are not those that were seen
+            alone = {x["word"]: x["right"] for x in fixes if x["sure"]}
             text = ""
             for i, t in enumerate(lines):
                 t = t.strip()
@@ -406,7 +536,8 @@ def _reflow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = text.rstrip(" ")
             cut_at_end = text.endswith("\u0002")
             text = text.replace("\u0002", "") + ("\u0002" if cut_at_end else "")
-            text = WORD.sub(lambda m: _cased(fix[m[0].lower()], m[0]) if m[0].lower() in fix else m[0], text)
+            if fix:
+                text = _corrected(text, fix, alone)
             goes_on = r.block_type == r.next_type and isinstance(r.next_line, str) and r.next_line.strip()[:1].islower() and text.rstrip()[-1:] not in ".!?:"
             rows.append((r.block_id, r.paper_id, r.order_, text, bool(cut_at_end or goes_on)))
         yield pd.DataFrame(rows, columns=["block_id", "paper_id", "order_", "text", "runs_on"])

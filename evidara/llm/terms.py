@@ -3,12 +3,16 @@
 The list's terms and known aliases form a BK-tree under the Levenshtein distance on
 spelling keys (case, accents, spacing and punctuation set aside). The triangle
 inequality prunes the search, which returns every entry within the threshold. A value
-that is no near spelling as a whole is tried with its abbreviations completed, its
-parts reordered ("moisture of the soil"), and by the runs of words within it.
+that is no near spelling as a whole is tried with its parts reordered ("moisture of the
+soil"), and by the runs of words within it; abbreviated words are completed by the words
+of the entry they are compared with. Every match has a rank that depends on the value and
+the entry alone, so the list may be cut into any shards: the best of the shards' winners
+is the winner of the whole list.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -23,6 +27,8 @@ from evidara.session import cut, records
 
 #: Entries of one tree; a longer list is sharded and the shards' winners are merged.
 SHARD_ENTRIES = 20_000
+#: Distinct values that one task compares.
+VALUES_A_TASK = 20_000
 #: Letters of other scripts that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans("абвеһіјкмнорѕстухԁαβεηικμνορτυχ", "abbehijkmhopsctyxdabeniкuvoptuχ".replace("к", "k").replace("χ", "x"))
 _SPLIT = re.compile(r"[^\w.]+|_+")
@@ -116,24 +122,37 @@ def allowed(n: int, whole: bool) -> int:
     return 0 if n < 6 else 1 if n < 11 else 2
 
 
+#: How a value meets an entry, the best first: as a whole, turned round, by a run of its words.
+WHOLE, TURNED, PART = 0, 1, 2
+#: (kind, cost, distance, entry) of a match; the least is the best. NONE ranks behind all.
+Match = tuple[int, int, int, str]
+NONE: Match = (3, 0, 0, "")
+
+
+def _match(kind: int, d: int, entry: str) -> Match:
+    """A whole value goes to the nearest, then the longest entry; for parts, each edit costs three covered characters."""
+    return (kind, 3 * d - len(entry), d, entry) if kind == PART else (kind, d, -len(entry), entry)
+
+
 class Matcher:
     """The entries of one field (or one shard of it)."""
 
     def __init__(self, entries: list[tuple[int, str]]):
         self.ids: dict[str, int] = {}
-        self.words: dict[str, int] = {}
-        self.vocabulary: set[str] = set()
+        spelled: dict[tuple[str, ...], str] = {}
         for term_id, text in sorted(entries):
             ws = tokens(text)
             if not ws:
                 continue
             self.ids.setdefault(key(ws), term_id)
-            self.words[key(ws)] = max(len(ws), self.words.get(key(ws), 0))
-            self.vocabulary.update(w.rstrip(".") for w in ws)
-            self.vocabulary.update(key(tokens(w)) for w in text.split())
+            # a hyphen may stand between two words or within one
+            for words in (ws, [key(tokens(w)) for w in text.split()]):
+                spelled[tuple(w.rstrip(".") for w in words if w)] = key(ws)
         self.tree = BKTree(list(self.ids))
-        self.most = max(self.words.values(), default=0)
-        self.sorted = sorted(self.vocabulary)
+        self.spelled = list(spelled.items())
+        self.most = max((len(w) for w, _ in self.spelled), default=0)
+        #: (word, place in the entry, number of the spelling), for the words that an abbreviation may stand for
+        self.starts = sorted((w, i, n) for n, (ws, _) in enumerate(self.spelled) for i, w in enumerate(ws))
         self._arm()
 
     def _arm(self) -> None:
@@ -147,57 +166,52 @@ class Matcher:
         self.__dict__.update(state)
         self._arm()
 
-    def _near(self, k: str, whole: bool) -> tuple[int, str] | None:
-        """The closest entry within the threshold: least distance, then the longer, then the first in order."""
+    def _near(self, k: str, kind: int) -> Match:
+        """The best entry within the threshold. An exact one is never outranked."""
         if k in self.ids:
-            return 0, k
+            return _match(kind, 0, k)
+        whole = kind != PART
         most = allowed(len(k), whole)
         hits = self.tree.within(k, most) if most else []
-        hits = [(d, e) for d, e in hits if d <= allowed(len(e), whole)]
-        return min(hits, key=lambda h: (h[0], -len(h[1]), h[1])) if hits else None
+        return min((_match(kind, d, e) for d, e in hits if d <= allowed(len(e), whole)), default=NONE)
 
-    def completed(self, words: list[str]) -> list[list[str]]:
-        """The word lists that abbreviations may stand for: 'relat. humidity', 'bound. layer height'."""
-        out: list[list[str]] = [[]]
-        for w in words:
+    def abbreviated(self, words: list[str]) -> Match:
+        """The best entry for words some of which are cut short ('relat. humidity'), whole or by a run."""
+        best = NONE
+        tried = set()
+        for at, w in enumerate(words):
             stem = w.rstrip(".")
-            choices = [stem]
-            if w.endswith(".") and len(stem) >= 3:
-                choices += [v for v in self.sorted if v.startswith(stem) and v != stem]
-            out = [o + [c] for o in out for c in choices][:64]
-        return out
-
-    def _best(self, value: str) -> tuple[int, int, int]:
-        """(term_id or 0, distance, characters covered)."""
+            if not w.endswith(".") or len(stem) < 3:
+                continue
+            for i in range(bisect.bisect_left(self.starts, (stem,)), len(self.starts)):
+                full, place, n = self.starts[i]
+                if not full.startswith(stem):
+                    break
+                entry, name = self.spelled[n]
+                first, last = at - place, at - place + len(entry)
+                if first < 0 or last > len(words) or (n, first) in tried:
+                    continue
+                tried.add((n, first))
+                run = words[first:last]
+                form = "".join(e if r.endswith(".") and len(r) > 3 and e.startswith(r.rstrip(".")) else r.rstrip(".") for r, e in zip(run, entry, strict=True))
+                whole = len(run) == len(words)
+                d = levenshtein(form, name)
+                if d <= min(allowed(len(form), whole), allowed(len(name), whole)):
+                    best = min(best, _match(WHOLE if whole else PART, d, name))
+        return best
+
+    def _best(self, value: str) -> Match:
         words = tokens(value)
         if not words:
-            return 0, 0, 0
-        # as a whole, in every order the spelling suggests
-        for form in self.completed(words) if any(w.endswith(".") for w in words) else [words]:
-            hit = self.near(key(form), True)
-            if hit:
-                return self.ids[hit[1]], hit[0], len(hit[1])
-        found = []
-        for turned in turns(value):
-            hit = self.near(key(turned), True)
-            if hit:
-                found.append((hit[0], -len(hit[1]), hit[1]))
-        if not found:
+            return NONE
+        best = min(self.near(key(words), WHOLE), self.abbreviated(words))
+        if best[0] > WHOLE:
+            best = min([best, *(self.near(key(t), TURNED) for t in turns(value))])
+        if best[0] > TURNED:
             # a hyphen may join two words of an entry or be part of one: the tokens are split at either
-            for form in self.completed(words):
-                for i in range(len(form)):
-                    for j in range(i + 1, min(len(form), i + self.most + 1) + 1):
-                        hit = self.near(key(form[i:j]), False)
-                        if hit:
-                            found.append((hit[0], -len(hit[1]), hit[1]))
-            # what covers more of the value wins, each edit costing three characters
-            found.sort(key=lambda h: (3 * h[0] + h[1], h[0], h[2]))
-        else:
-            found.sort()
-        if not found:
-            return 0, 0, 0
-        d, n, name = found[0]
-        return self.ids[name], d, -n
+            runs = (words[i:j] for i in range(len(words)) for j in range(i + 1, min(len(words), i + self.most + 1) + 1))
+            best = min([best, *(self.near(key(r), PART) for r in runs)])
+        return best
 
 
 def turns(value: str) -> Iterator[list[str]]:
@@ -230,12 +244,19 @@ def endpoint_values(claims: DataFrame) -> DataFrame:
     return own.select("claim_id", F.explode(F.array(*cells)).alias("c")).select("claim_id", "c.side", "c.field", "c.value")
 
 
+MATCHED = "field string, value string, kind int, cost int, tie int, entry string, term_id int"
+
+
 def _map(tree_b):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = tree_b.value
         for p in batches:
-            got = [trees[f].best(v) if f in trees else (0, 0, 0) for f, v in zip(p.field, p.value, strict=True)]
-            yield pd.DataFrame({"field": p.field, "value": p.value, "term_id": [g[0] for g in got], "distance": [g[1] for g in got], "covered": [g[2] for g in got]})
+            rows = []
+            for f, v in zip(p.field, p.value, strict=True):
+                m = trees[f].best(v) if f in trees else NONE
+                if m != NONE:
+                    rows.append((f, v, *m, trees[f].ids[m[3]]))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCHED.split(", ")])
 
     return run
 
@@ -243,18 +264,26 @@ def _map(tree_b):
 def map_values(values: DataFrame, terms: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(field, value, term_id, distance) of the distinct values; term_id 0 where no entry is within the threshold.
 
-    Values are compared once each, however often they occur. With several shards the
-    winner has the least cost, three characters an edit against the characters covered,
-    then the smaller term_id. Null values are left out; a field without entries matches none.
+    Values are compared once each, however often they occur, and spread by their number.
+    The shards are worked on one after the other: each one's winners are written before
+    the next one is sent out, so one shard is all that a task ever holds. Null values are
+    left out; a field without entries matches none.
     """
-    distinct = values.where("value is not null").select("field", "value").distinct()
     sc = values.sparkSession.sparkContext
-    out = None
+    distinct = cut(values.where("value is not null").select("field", "value").distinct(), "values")
+    tasks = max(2 * sc.defaultParallelism, math.ceil(distinct.count() / VALUES_A_TASK))
+    spread = distinct.repartition(tasks, "field", "value")
+    won = None
     for m in matchers(terms, shard_entries):
-        part = distinct.mapInPandas(_map(sc.broadcast(m)), "field string, value string, term_id int, distance int, covered int")
-        out = part if out is None else out.unionByName(part)
-    rank = F.struct((F.col("term_id") == 0).alias("none"), (3 * F.col("distance") - F.col("covered")).alias("cost"), "distance", "term_id")
-    return out.groupBy("field", "value").agg(F.min(rank).alias("r")).select("field", "value", "r.term_id", "r.distance")
+        tree_b = sc.broadcast(m)
+        part = cut(spread.mapInPandas(_map(tree_b), MATCHED), "matched")
+        tree_b.destroy()
+        won = part if won is None else won.unionByName(part)
+    best = won.groupBy("field", "value").agg(F.min(F.struct("kind", "cost", "tie", "entry", "term_id")).alias("m"))
+    # the distance is the first figure of a whole match, the second of a part
+    distance = F.when(F.col("m.kind") == PART, F.col("m.tie")).otherwise(F.col("m.cost"))
+    got = best.select("field", "value", F.col("m.term_id").alias("term_id"), distance.alias("distance"))
+    return distinct.join(got, ["field", "value"], "left").fillna({"term_id": 0, "distance": 0})
 
 
 def mapped_endpoints(claims: DataFrame, terms: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:

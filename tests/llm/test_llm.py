@@ -50,6 +50,25 @@ def test_values_are_mapped(spark):
     assert rows == [("c", "from", "state", 4), ("c", "to", "concept", 1), ("d", "to", "state", 0)]
 
 
+def test_shards_give_what_one_list_gives(spark):
+    names = ["soil heat flux", "soil heat", "surface heat flux", "latent heat", "heat flux", "relative humidity", "relational humour", "boundary layer height", "boundary condition", "wind speed at the canopy top"]
+    # more completions of one stem than any fixed number
+    names += [f"relat{chr(97 + i // 26)}{chr(97 + i % 26)} humus" for i in range(120)]
+    t = spark.createDataFrame([(i + 1, "concept", n, []) for i, n in enumerate(names)], "term_id int, field string, term string, known_aliases array<string>")
+    rng = random.Random(6)
+    typed = ["soil heat fxx", "relat. humidity", "bound. layer height", "mean bound. lay. heigt anomaly", "the soil heat flux", "relat. humus", "relatez humus", "heat fluxx latent", "speed of the wind at canopy top", "rel. humid."]
+    for n in names[:40]:
+        for _ in range(3):
+            k = rng.randrange(len(n))
+            typed.append(n[:k] + rng.choice(["", "x", "e", ". "]) + n[k + 1 :])
+    v = spark.createDataFrame([("concept", x) for x in typed], "field string, value string")
+    want = {tuple(r) for r in terms.map_values(v, t, 10_000).collect()}
+    assert len(want) == len(set(typed)) and {r[2] for r in want} > {1, 6, 8}
+    for shard in (40, 7):
+        assert {tuple(r) for r in terms.map_values(v, t, shard).collect()} == want
+    assert {r[2] for r in want if r[1] == "relatez humus"} != {0}
+
+
 # ---- 2: scans ------------------------------------------------------------------
 
 
@@ -97,6 +116,25 @@ def test_scan_defects_and_reflow(spark):
     assert scans.scan_defects(df.limit(0)).count() == 0
 
 
+def test_neighbours_rank_candidates(spark):
+    """A misread form that may be either of two words, a form that is a word itself, and a number."""
+    rng = random.Random(3)
+    words = "water flows under pale rivers while winter brings sudden dry winds over hills".split()
+    rows = []
+    for p in range(12):
+        for i in range(20):
+            text = f"{rng.choice(words)} the cold lake froze {rng.choice(words)} and a hot bake rose {rng.choice(words)} since they came in 1993 {rng.choice(words)} a dark cave opens to the roof eave drips on roof eave drips"
+            rows.append((f"P{p}:B{i}", f"P{p:07d}", i, i + 1, "paragraph", text + " " + " ".join(rng.sample(words, 8)) + ".", None, None))
+    noisy = ["thc cold 1ake froze", "a hot 1ake rose so thc rivers", "to the roof cave drips wh1le", "the wintcr of l993 undcr hills", "vvater flovvs undcr pa1e rivers", "a dark cave opens so thcy", "brings suddcn vvinds ovcr"]
+    for i in range(21):
+        rows.append((f"S:B{i}", "S", i, i + 1, "paragraph", "The hills " + noisy[i % 7] + " while " + rng.choice(words) + ".", None, None))
+    s = scans.Scan(spark.createDataFrame(rows, BLOCK))
+    text = {r["first_block_id"]: r["text"] for r in s.paragraphs().collect()}
+    parts = ["the cold lake froze", "a hot bake rose so the rivers", "to the roof eave drips while", "the winter of 1993 under hills", "water flows under pale rivers", "a dark cave opens so they", "brings sudden winds over"]
+    assert [i for i in range(21) if parts[i % 7] not in text[f"S:B{i}"]] == [], text
+    assert all(r["paper_id"] == "S" for r in s.misread.join(s.blocks.select("block_id", "paper_id"), "block_id").collect())
+
+
 # ---- 3: split ------------------------------------------------------------------
 
 
@@ -121,6 +159,13 @@ def test_pieces_cover_the_text(text):
             assert hard or text[b - 1].isspace()
 
 
+def test_stretches_change_nothing(monkeypatch):
+    text = "One sentence here, of some length. " * 700 + "\n\n" + "x" * 3000 + " Another; and more words to go on. " * 500
+    want = split.cut_points(text, 300, 20)
+    monkeypatch.setattr(split, "STRETCH", 1500)
+    assert split.cut_points(text, 300, 20) == want and len(want) > 40
+
+
 def test_split_blocks(spark):
     rows = [("a", "P", ["S"], 1, "word " * 2000), ("a", "P", ["S"], 1, "word " * 2000), ("b", "P", None, 2, "x" * 5250), ("c", "P", None, 3, "x" * 5251), ("n", "P", None, 4, None), ("e", "P", None, 5, "")]
     df = spark.createDataFrame(rows, "id string, paper_id string, section_path array<string>, order_ int, text string")
@@ -321,9 +366,32 @@ def test_leaks_equal_brute_force(spark):
     got = {tuple(r) for r in leakage.leaked_items(df, it).collect()}
     assert not got - want and len(got) >= 0.98 * len(want) > 20
     assert (502, 3) in {(r["doc_id"], r["item_id"]) for r in leakage.paraphrased_items(df, it).collect()}
+    assert {tuple(r) for r in leakage.leaked_items(df, it, leakage.EXACT).collect()} == want
     assert leakage.leaked_items(df.limit(0), it).count() == 0
 
 
+def test_paraphrases_are_recalled(spark):
+    """Items with a share of their words replaced, and short ones, within foreign text."""
+    rng = random.Random(12)
+    vocab = [f"word{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(say(8)), " ".join(say(40))) for i in range(40)]
+    docs, planted = [], set()
+    for d in range(200):
+        ws = say(rng.choice([30, 120]))
+        if d < 120:
+            i, q, p = items[d % 40]
+            src = (q if d % 3 == 0 else p).split()
+            new = [rng.choice(vocab) if rng.random() < 0.12 else w for w in src]
+            if sum(a == b for a, b in zip(src, new)) >= 0.75 * len(src):
+                at = rng.randrange(len(ws) + 1)
+                ws[at:at] = new
+                planted.add((d, i))
+        docs.append((d, " ".join(ws)))
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.paraphrased_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, question string, passage string"), answer=0.5).collect()}
+    assert len(got & planted) >= 0.9 * len(planted) > 80 and len(got - planted) <= 2
+
+
 # ---- 10: encoding --------------------------------------------------------------
 
 
