@@ -431,3 +431,25 @@ def test_copies_do_not_outvote_clean_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r[0] for r in encoding.garbled_documents(df).collect()} == {d for d, _ in rows if d >= 1000}
     assert {r["text"] for r in encoding.restore_documents(df).collect()} == {SENTENCES[2].format(n=k) for k in range(2)}
+
+
+def test_alignment():
+    assert encoding.aligned("CafÃ© dÃ©jÃ\xa0", "Café déjà") == [("é", "Ã©"), ("é", "Ã©"), ("à", "Ã\xa0")]
+    assert encoding.aligned("aé", "éa") is None
+    assert encoding.substitutions([("éà", "Ã©Ã\xa0"), ("’é", "abc")]) == [("é", "Ã©"), ("à", "Ã\xa0")]
+
+
+def test_a_garbling_of_no_code_table_is_learned(spark):
+    """An invented table, next to an accent that is merely written differently now and then."""
+    table = {"é": "ᚠᛯ", "è": "ᚢ", "à": "ᚦᚨ", "ê": "ᚱ", "ô": "ᚲ", "ç": "ᚷᚹ", "û": "ᚺ"}
+    rng = random.Random(7)
+    words = "grès scène là voilà tête rêve drôle rôle leçon garçon goût coûte près forêt élevé température déjà contrôle façon août été récolte même côté sécheresse dégradé où".split()
+    say = lambda: " ".join(f"{rng.choice('abcde')}la {w} du sol" for w in rng.sample(words, 6))
+    clean = [(i, say()) for i in range(300)]
+    odd = [(1000 + i, "ala " + rng.choice(["prés", "foret é", "élevè"]) + " du sol") for i in range(12)]
+    bad = {2000 + i: say() for i in range(12)}
+    garble = lambda t: "".join(table.get(c, c) for c in t)
+    df = spark.createDataFrame(clean + odd + [(d, garble(t)) for d, t in bad.items()], "doc_id long, text string")
+    assert {r[0] for r in encoding.garbled_documents(df).collect()} == set(bad)
+    back = {r["doc_id"]: r["text"] for r in encoding.restore_documents(df).collect()}
+    assert sum(back[d] == t for d, t in bad.items()) >= 10
