@@ -26,9 +26,13 @@ def test_text_goldens(spark):
     assert tuple(one) == ("state::surface_temperature::increase", 1, 3)
 
 
-def test_scales():
-    got = X.parse_scales("a 14.4 × 14.4 km box, 10-40 km wide storms on flat land, and a halo of 1–2 km")
-    assert [(k, a, b) for k, a, b, _, _ in got] == [("rectangle", 14.4, 14.4), ("range", 10.0, 40.0), ("distance_band", 1.0, 2.0)]
+def test_scales(spark):
+    rows = [("a 14.4 × 14.4 km box, 10-40 km wide storms on flat land, and a halo of 1–2 km",), ("2-3 m annuli; then, much further on in the text, from 110 - 120 KM away",), (None,), ("",), ("10-20-30 km",)]
+    got = [[(x["kind"], x["low"], x["high"], x["unit"]) for x in r[0]] for r in spark.createDataFrame(rows, "t string").select(X.scales(F.col("t"))).collect()]
+    assert got == [
+        [("rectangle", 14.4, 14.4, "km"), ("range", 10.0, 40.0, "km"), ("distance_band", 1.0, 2.0, "km")],
+        [("distance_band", 2.0, 3.0, "m"), ("range", 110.0, 120.0, "km")], [], [], [("range", 20.0, 30.0, "km")],
+    ]
 
 
 def test_vectors(spark):
@@ -105,11 +109,30 @@ def test_beam_equals_plain_search(spark):
     assert {k: v for k, v in want.items() if v} == got
 
 
-def test_trim_package_shortens_the_first_path():
-    blocks = {c: [{"id": f"b{c}", "text": "supported result " * 20}] for c in ("CL1", "CL2")}
-    claims = {c: {"id": c} for c in blocks}
-    p, a, b, w = evidence.trim_package({}, [{"claim_ids": ["CL1", "CL2"]}], [], blocks, claims, {}, budget=1, hard=10_000, most=1)
-    assert w == ["SOURCEBLOCK_BUDGET_TRUNCATED"] and p == [{"claim_ids": ["CL1"]}] and list(b) == ["CL1"] and a == []
+PATHS, ALTS, HELD = "array<struct<rank:int,claims:array<string>,score:double>>", "array<struct<claim_id:string,focal_claim_id:string,classification:string>>", "array<struct<id:string,k:int,block_id:string,text:string>>"
+
+
+def packed(spark, row, *budgets):
+    df = spark.createDataFrame([row], f"query_id string, mode string, paths {PATHS}, alternatives {ALTS}, claims array<struct<id:string,conditioning_facet_ids:array<string>>>, held {HELD}")
+    return evidence.packages(df, *budgets).orderBy("pos").collect()
+
+
+def test_packages_shorten_the_first_path(spark):
+    row = ("q", "forward", [(1, ["CL1", "CL2"], 0.9)], None, [("CL1", None), ("CL2", None)], [(c, 1, f"b{c}", "supported result " * 20) for c in ("CL1", "CL2")])
+    got = packed(spark, row, 1, 10_000, 1)
+    assert [(r["claim_id"], r["blocks"], r["warnings"]) for r in got] == [("CL1", ["bCL1"], ["SOURCEBLOCK_BUDGET_TRUNCATED"])]
+    assert packed(spark, row, 1, 1, 5) == []
+
+
+def test_packages_give_up_second_blocks_for_alternatives(spark):
+    row = ("q", "forward", [(1, ["c1"], 0.9)], [("c2", "c1", "opposite")], [("c1", None), ("c2", None)], [("c1", 1, "b1", "x" * 100), ("c1", 2, "b2", "x" * 300), ("c2", 1, "b3", "x" * 300)])
+    df = spark.createDataFrame([(f"{b:03d}", *row[1:], b) for b in range(60, 520, 20)], f"query_id string, mode string, paths {PATHS}, alternatives {ALTS}, claims array<struct<id:string,conditioning_facet_ids:array<string>>>, held {HELD}, b int")
+    seen = []
+    for b in range(60, 520, 20):
+        got = [(r["claim_id"], r["blocks"]) for r in evidence.packages(df.where(f"b = {b}"), b, b).orderBy("pos").collect()]
+        if not seen or seen[-1] != got:
+            seen.append(got)
+    assert seen == [[("c1", ["b1"])], [("c1", ["b1", "b2"])], [("c1", ["b1"]), ("c2", ["b3"])], [("c1", ["b1", "b2"]), ("c2", ["b3"])]]
 
 
 def test_budget_fill_skips_and_continues(spark):
