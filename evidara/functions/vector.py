@@ -25,3 +25,10 @@ def unit(a: Column) -> Column:
     """The vector at length 1; a zero vector stays."""
     n = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+
+
+def hashed(words: Column, dim: int = 16) -> Column:
+    """A unit vector of a list of words, by the first digit of their MD5; stands in where no model's vectors are at hand. No words: null."""
+    digits = F.transform(words, lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 1), 16, 10).cast("int") % dim)
+    count = lambda acc, d: F.transform(acc, lambda x, i: x + F.when(i == d, 1.0).otherwise(0.0))
+    return F.when(F.size(words) > 0, F.aggregate(digits, F.array_repeat(F.lit(0.0), dim), count, unit))

@@ -25,41 +25,41 @@ def exact_dedup(df: DataFrame, keys: dict[str, Column], unions: tuple[str, ...],
     return x.groupBy(*keys).agg(F.min_by("id", pos).alias("id"), F.min(pos).alias("pos"), *[_union_in_order(u, pos).alias(u) for u in unions], F.count("*").alias("n_merged"))
 
 
-def claim_keys(ascii_only: bool = False) -> dict[str, Column]:
-    k = lambda c: X.text_key(F.col(c), ascii_only)
+def claim_keys() -> dict[str, Column]:
+    k = lambda c: X.text_key(F.col(c))
     return {
         "k_scope": F.col("scope_id"), "k_from": k("from_.concept"), "k_from_state": k("from_.state"), "k_relation": F.col("relation"),
         "k_to": k("to_.concept"), "k_to_state": k("to_.state"), "k_text": k("description"),
     }
 
 
-def facet_keys(ascii_only: bool = False) -> dict[str, Column]:
-    k = lambda c: X.text_key(F.col(c), ascii_only)
+def facet_keys() -> dict[str, Column]:
+    k = lambda c: X.text_key(F.col(c))
     return {"k_context": F.col("context_id"), "k_domain": k("domain"), "k_notion": k("notion"), "k_text": k("description")}
 
 
-def mention_inventory(mentions: DataFrame, ascii_only: bool = False) -> DataFrame:
+def mention_inventory(mentions: DataFrame) -> DataFrame:
     """(group, mention_id, name, block_ids, n): settings by normalised name, numbered by first mention."""
-    x = mentions.withColumn("key", X.text_key(F.col("name"), ascii_only)).where("key <> ''")
+    x = mentions.withColumn("key", X.text_key(F.col("name"))).where("key <> ''")
     g = x.groupBy("group", "key").agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("first"), _union_in_order("block_ids").alias("block_ids"), F.count("*").alias("n"))
     number = F.row_number().over(W.partitionBy("group").orderBy("first"))
     return g.withColumn("mention_id", F.format_string("CM%03d", number)).select("group", "mention_id", "name", "block_ids", "n")
 
 
-def context_pairs(contexts: DataFrame, ascii_only: bool = False) -> DataFrame:
+def context_pairs(contexts: DataFrame) -> DataFrame:
     """(left_id, right_id, reason): contexts of a paper that share a name, or label and spatial support.
 
     Blocked by name: only contexts that agree on one meet.
     """
     names = F.array_distinct(F.transform(F.filter(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: a.isNotNull() & (F.trim(a) != "")), lambda a: a))
-    n = contexts.select("paper_id", "id", F.explode(names).alias("name")).withColumn("key", X.text_key(F.col("name"), ascii_only)).select("paper_id", "id", "key").distinct()
+    n = contexts.select("paper_id", "id", F.explode(names).alias("name")).withColumn("key", X.text_key(F.col("name"))).select("paper_id", "id", "key").distinct()
     pair = n.alias("a").join(n.alias("b"), ["paper_id", "key"]).where("a.id < b.id")
     return pair.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.lit("shared_alias").alias("reason")).distinct()
 
 
-def facet_pairs(facets: DataFrame, ascii_only: bool = False) -> DataFrame:
+def facet_pairs(facets: DataFrame) -> DataFrame:
     """(left_id, right_id, notion_cosine, content_cosine): facets of one context and domain that may be the same."""
-    f = facets.select("id", "context_id", "domain", X.text_key(F.col("notion"), ascii_only).alias("key"), N.doubles(F.col("notion_embedding")).alias("n"), N.doubles(F.col("content_embedding")).alias("c"))
+    f = facets.select("id", "context_id", "domain", X.text_key(F.col("notion")).alias("key"), N.doubles(F.col("notion_embedding")).alias("n"), N.doubles(F.col("content_embedding")).alias("c"))
     x = f.alias("a").join(f.alias("b"), ["context_id", "domain"]).where("a.id < b.id")
     x = x.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), (F.col("a.key") == F.col("b.key")).alias("same"), N.dot(F.col("a.n"), F.col("b.n")).alias("notion_cosine"), N.dot(F.col("a.c"), F.col("b.c")).alias("content_cosine"))
     return x.where(F.col("same") | (F.col("notion_cosine") >= V.NOTION_COSINE) | (F.col("content_cosine") >= V.CONTENT_COSINE)).drop("same")
@@ -109,21 +109,23 @@ def redirect(df: DataFrame, column: str, redirects: DataFrame, drop_self: str |
     return out.withColumn(column, F.array_remove(F.col(column), F.col(drop_self))) if drop_self else out
 
 
-def reversals(canonical: DataFrame, ascii_only: bool = False) -> DataFrame:
-    """(claim_id, scope_id, relation, from_key, to_key, polarities): claims of groups whose outcomes contradict."""
-    k = lambda c: X.text_key(F.col(c), ascii_only)
+def reversals(canonical: DataFrame, everywhere: bool = False) -> DataFrame:
+    """(claim_id, scope_id, relation, from_key, to_key, polarities): claims of groups whose outcomes contradict, within one scope or everywhere (scope_id is then null)."""
+    if everywhere:
+        canonical = canonical.withColumn("scope_id", F.lit("*"))
+    k = lambda c: X.text_key(F.col(c))
     x = canonical.select("id", "scope_id", "relation", k("from_.concept").alias("from_key"), k("to_.concept").alias("to_key"), X.polarity(F.col("to_direction")).alias("p"))
     keys = ["scope_id", "relation", "from_key", "to_key"]
     g = x.where("scope_id is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("p")).alias("polarities"))
     # two different polarities always contradict: up and down, or none and either
     g = g.where(F.size("polarities") > 1)
-    return x.join(g, keys).select(F.col("id").alias("claim_id"), *keys, "polarities")
+    return x.join(g, keys).select(F.col("id").alias("claim_id"), F.nullif("scope_id", F.lit("*")).alias("scope_id"), *keys[1:], "polarities")
 
 
-def recanonicalised(claims: DataFrame, ascii_only: bool = False) -> DataFrame:
+def recanonicalised(claims: DataFrame) -> DataFrame:
     """(claim_id, side, old_id, new_id): endpoints whose state id changes under the alias lists."""
     parts = []
     for side, end in (("from", "from_"), ("to", "to_")):
-        ck, sk = X.text_key(F.col(f"{end}.concept"), ascii_only), X.text_key(F.col(f"{end}.state"), ascii_only)
+        ck, sk = X.text_key(F.col(f"{end}.concept")), X.text_key(F.col(f"{end}.state"))
         parts.append(claims.select(F.col("id").alias("claim_id"), F.lit(side).alias("side"), X.state_id(ck, sk).alias("old_id"), X.state_id(X.canonical_concept(ck), X.canonical_direction(sk)).alias("new_id")))
     return parts[0].unionByName(parts[1]).where("old_id <> new_id")

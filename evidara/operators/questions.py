@@ -19,6 +19,11 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda many: [None if x is None else unicodedata.normalize("NFC", x) for x in many])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(lambda many: [None if x is None else unicodedata.normalize("NFKC", x) for x in many])
+
+
 def _stated(question: Column, span: Column) -> Column:
     return F.coalesce(F.contains(question, span), F.lit(False))
 
@@ -32,10 +37,12 @@ def specify(parsed: DataFrame) -> DataFrame:
     """
     x = parsed.withColumn("facets", F.coalesce("facets", F.array().cast("array<struct<domain:string,notion:string,description:string,span:string>>")))
     x = x.withColumn("_n", _nfc(F.array("question", "source.span", "target.span", "place"))).withColumn("_f", _nfc(F.transform("facets", lambda f: f["span"])))
+    x = x.withColumn("_k", _nfkc("_f"))
     q, place = F.col("_n")[0], F.col("_n")[3]
-    whole = F.zip_with("facets", "_f", lambda f, s: F.struct(f["domain"].alias("domain"), f["notion"].alias("notion"), f["description"].alias("description"), s.alias("span")))
-    x = x.withColumn("_all", whole).withColumn("_kept", F.filter("_all", lambda f: _stated(q, f["span"])))
-    same_place = lambda f: (f["domain"] == "spatial_configuration") & (X.text_key(f["span"], True) == X.text_key(place, True))
+    keyed = F.zip_with("_f", "_k", lambda s, k: F.struct(s.alias("span"), X.key_of(F.lower(F.coalesce(k, F.lit("")))).alias("key")))
+    whole = F.zip_with("facets", keyed, lambda f, s: F.struct(f["domain"].alias("domain"), f["notion"].alias("notion"), f["description"].alias("description"), s["span"].alias("span"), s["key"].alias("key")))
+    x = x.withColumn("_all", whole).withColumn("_place", X.text_key(place)).withColumn("_kept", F.filter("_all", lambda f: _stated(q, f["span"])))
+    same_place = lambda f: (f["domain"] == "spatial_configuration") & (f["key"] == F.col("_place"))
     x = x.withColumn("_facets", F.when(place.isNull(), F.col("_kept")).otherwise(F.filter("_kept", lambda f: ~F.coalesce(same_place(f), F.lit(False)))))
     for side, i in (("source", 1), ("target", 2)):
         there = F.col(side).isNotNull()

@@ -17,12 +17,12 @@ from evidara.functions import vocabulary as V
 from evidara.operators.retrieval import exact_topk
 
 
-def canonical_claims(claims: DataFrame, ascii_only: bool = False) -> DataFrame:
+def canonical_claims(claims: DataFrame) -> DataFrame:
     """Claims with canonical concepts and directions of both ends and the ids of their states."""
     out = claims
     for side, end in (("from", "from_"), ("to", "to_")):
-        out = out.withColumn(f"{side}_concept", X.canonical_concept(X.text_key(F.col(f"{end}.concept"), ascii_only)))
-        out = out.withColumn(f"{side}_direction", X.canonical_direction(X.text_key(F.col(f"{end}.state"), ascii_only)))
+        out = out.withColumn(f"{side}_concept", X.canonical_concept(X.text_key(F.col(f"{end}.concept"))))
+        out = out.withColumn(f"{side}_direction", X.canonical_direction(X.text_key(F.col(f"{end}.state"))))
         out = out.withColumn(f"{side}_state", X.state_id(F.col(f"{side}_concept"), F.col(f"{side}_direction")))
     return out
 

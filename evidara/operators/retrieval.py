@@ -24,7 +24,7 @@ def exact_topk(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
 
     ``queries`` is (query_id, qv), ``items`` (id, v). Queries are taken in blocks of
     bounded size; each task multiplies its batch with the block and keeps k a query, so
-    only winners are shuffled. Vectors of another length than a query's, and nulls, score 0.
+    only winners are shuffled. The dot product runs over the common length; nulls score 0.
     """
     spark = items.sparkSession
     n = queries.count()
@@ -57,29 +57,37 @@ def _block_topk(block, k: int):
                 if v is not None:
                     u = np.asarray(v, dtype=np.float64)[: q.shape[1]]
                     x[i, : len(u)] = np.nan_to_num(u)
-            ids = p.id.astype(str).to_numpy()
-            s = np.maximum(0.0, np.round(q @ x.T, 12))
-            for i, name in enumerate(names):
-                top = np.lexsort((ids, -s[i]))[:k]
-                yield pd.DataFrame({"query_id": name, "id": ids[top], "score": s[i][top]})
+            # rows in the order of ids, so that a stable sort gives ties to the smaller id
+            by_id = np.argsort(p.id.astype(str).to_numpy(), kind="stable")
+            ids = p.id.astype(str).to_numpy()[by_id]
+            s = np.maximum(0.0, np.round(q @ x[by_id].T, 12))
+            m = min(k, s.shape[1])
+            # all that reach the k-th score, then the k first of them
+            least = -np.partition(-s, m - 1, axis=1)[:, m - 1 : m]
+            row, col = np.nonzero(s >= least)
+            order = np.lexsort((col, -s[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[nth < m], col[nth < m]
+            yield pd.DataFrame({"query_id": np.array(names, dtype=object)[row], "id": ids[col], "score": s[row, col]})
 
     return run
 
 
-def bm25(blocks: DataFrame, queries: DataFrame, k: int, group: str = "paper_id", ascii_only: bool = False) -> DataFrame:
+def bm25(blocks: DataFrame, queries: DataFrame, k: int, group: str = "paper_id") -> DataFrame:
     """(group, query_id, block_id, score, rank): the k best blocks of each group by BM25.
 
     ``blocks`` is (group, block_id, order_, text), ``queries`` (group, query_id, text); several
     texts of one query_id give the best of them, a repeated word counts twice. Blocks that
     share no word score 0 and fill up the k; ties go to the smaller order.
     """
-    docs = blocks.withColumn("words", X.word_list(F.col("text"), ascii_only)).withColumn("len", F.size("words"))
+    docs = blocks.withColumn("words", X.word_list(F.col("text"))).withColumn("len", F.size("words"))
     size = docs.groupBy(group).agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
     tf = docs.select(group, "block_id", "len", F.explode("words").alias("w")).groupBy(group, "block_id", "len", "w").agg(F.count("*").alias("tf"))
     queries = queries.select(group, "query_id", F.coalesce("text", F.lit("")).alias("qt"))
     # a text that many queries of a group share is scored once
     texts = queries.select(group, "qt").distinct()
-    asked = texts.select(group, "qt", F.explode(X.word_list(F.col("qt"), ascii_only)).alias("w")).groupBy(group, "qt", "w").agg(F.count("*").alias("times"))
+    asked = texts.select(group, "qt", F.explode(X.word_list(F.col("qt"))).alias("w")).groupBy(group, "qt", "w").agg(F.count("*").alias("times"))
     # only words that are asked for go through the join
     held = tf.join(asked.select(group, "w").distinct(), [group, "w"], "left_semi")
     df = held.groupBy(group, "w").agg(F.count("*").alias("df"))
@@ -98,6 +106,44 @@ def bm25(blocks: DataFrame, queries: DataFrame, k: int, group: str = "paper_id",
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "query_id", "block_id", "score", "rank")
 
 
+#: Blocks of a group that meet its queries in one task.
+GROUP_BLOCKS = 8_192
+
+
+def semantic_blocks(blocks: DataFrame, queries: DataFrame, k: int, group: str = "paper_id") -> DataFrame:
+    """(group, query_id, block_id, score, rank): the k blocks of each group nearest to a query by dot product.
+
+    ``blocks``: group, block_id, order_, v; ``queries``: group, query_id, qv; several vectors of
+    one query give the best of them. Blocks without a vector take no part, negative scores
+    stay; ties go to the smaller order, then id. A group's blocks are dealt out to as many tasks as
+    they need, its queries to each of them, and only each task's k best are shuffled.
+    """
+    b = blocks.where(F.col("v").isNotNull()).select(group, "block_id", "order_", "v")
+    n = b.groupBy(group).agg(F.ceil(F.count("*") / GROUP_BLOCKS).cast("int").alias("parts"))
+    b = b.join(n, group).withColumn("part", F.pmod(F.xxhash64("block_id"), F.col("parts")).cast("int")).drop("parts")
+    q = queries.where(F.col("qv").isNotNull()).join(n, group).select(group, "query_id", "qv", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    kind = dict(b.dtypes)[group]
+    schema = f"{group} {kind}, query_id string, block_id string, order_ int, score double"
+
+    def best(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            x = x.sort_values(["order_", "block_id"])  # so that a stable sort keeps ties in order
+            m = np.stack(x.v.to_numpy()).astype(np.float64)
+            ids, at = x.block_id.to_numpy(), x.order_.to_numpy()
+            for name, many in y.groupby("query_id", sort=False):
+                s = np.round((m @ np.stack(many.qv.to_numpy()).T.astype(np.float64)).max(axis=1), 12)
+                top = np.argsort(-s, kind="stable")[:k]
+                out.append(pd.DataFrame({group: key[0], "query_id": name, "block_id": ids[top], "order_": at[top], "score": s[top]}))
+        if not out:
+            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
+        return pd.concat(out)
+
+    near = b.groupBy(group, "part").cogroup(q.groupBy(group, "part")).applyInPandas(best, schema)
+    order = W.partitionBy(group, "query_id").orderBy(F.desc("score"), "order_", "block_id")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "query_id", "block_id", "score", "rank")
+
+
 def facet_matches(query_facets: DataFrame, candidates: DataFrame) -> DataFrame:
     """Best candidate facet for each query facet and context, within the domain.
 

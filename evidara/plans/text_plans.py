@@ -92,6 +92,7 @@ _ENDS = " union all ".join(
     f"select {sql_case(sql_key(f'{s}.concept'), V.CONCEPTS)} as concept, {sql_case(sql_key(f'{s}.state'), V.DIRECTIONS)} as state from {sql_rec('claims', 'from_', 'to_')}" for s in ("from_", "to_")
 )
 _PAIR = r"[0-9]+(?:\.[0-9]+)?\s*-\s*[0-9]+(?:\.[0-9]+)?\s*(?:[kK][mM]|[mM])\b"
+_BOX = r"[0-9]+(?:\.[0-9]+)?\s*[xX]\s*[0-9]+(?:\.[0-9]+)?\s*(?:[kK][mM]|[mM])\b"
 SQL = {
     "normalize_key": f"""select id as claim_id, {sql_key('from_.concept')} as from_concept, {sql_key('from_.state')} as from_state,
         {sql_key('to_.concept')} as to_concept, {sql_key('to_.state')} as to_state from {sql_rec('claims', 'from_', 'to_')}""",
@@ -112,5 +113,35 @@ SQL = {
     "sections_islands": f"""with b as (select *, coalesce(array_to_string(section_path[1:2], chr(1)), '') as k from {sql_rec('source_blocks', 'paper_id', 'order_', 'section_path')}),
         n as (select *, case when lag(k) over (partition by paper_id order by order_) = k then 0 else 1 end as new from b)
         select id as block_id, paper_id, cast(sum(new) over (partition by paper_id order by order_ rows unbounded preceding) as bigint) as island from n""",
+    "scale_parse": f"""with b as (select id, translate(text, '×–—', 'x--') as t from {sql_rec('source_blocks', 'text')} where text is not null),
+        box as (select id, 'rectangle' as kind, unnest(regexp_extract_all(t, '{_BOX}')) as s from b),
+        r as (select id, t, regexp_extract_all(t, '{_PAIR}') as src, regexp_split_to_array(t, '{_PAIR}') as gap from b where regexp_matches(t, '{_PAIR}')),
+        i as (select id, t, src, gap, unnest(range(1, len(src) + 1)) as i from r),
+        located as (select id, t, src[i] as s, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(src[1:i - 1], lambda x: length(x))), 0) as p from i),
+        near as (select id, s, lower(substr(t, greatest(p - 25, 0)::bigint + 1, (p - greatest(p - 25, 0))::bigint + length(s) + 15)) as n from located),
+        every as (select id, kind, s from box union all select id, case when n like '%annulus%' or n like '%annuli%' or n like '%halo%' then 'distance_band' else 'range' end, s from near)
+        select distinct id as block_id, kind, regexp_extract(s, '^([0-9.]+)', 1)::double as low, regexp_extract(s, '[xX-]\\s*([0-9.]+)', 1)::double as high, lower(regexp_extract(s, '([a-zA-Z]+)$', 1)) as unit from every""",
+    "clean_lines": f"""with b as (select * from {sql_rec('source_blocks', 'paper_id', 'page', 'order_', 'text')} where page is not null and text is not null),
+        w as (select paper_id, page, order_, regexp_split_to_array(text, '\\r?\\n') as ls from b), l as (select paper_id, page, order_, unnest(ls) as t, generate_subscripts(ls, 1) as n from w),
+        k as (select *, regexp_replace(lower(trim(regexp_replace(t, '\\s+', ' ', 'g'))), '[0-9]+', '#', 'g') as key from l),
+        rep as (select paper_id, key from (select distinct paper_id, page, key from k where not starts_with(ltrim(t), '#')) join (select paper_id, count(distinct page) as pages from b group by 1) using (paper_id)
+            where length(key) between 2 and 150 group by paper_id, key, pages having count(*) >= greatest(2, floor(pages * 0.6 + 0.999))),
+        j as (select paper_id, page, order_, replace(string_agg(t, chr(10) order by n), chr(160), ' ') as t from k where (paper_id, key) not in (select (paper_id, key) from rep) group by 1, 2, 3),
+        h as (select paper_id, page, order_, regexp_replace(regexp_replace(t, '([\\p{{L}}\\p{{N}}_])-\\n([a-z])', '\\1\\2', 'g'), '([\\p{{L}}\\p{{N}}_])-\\n([a-z])', '\\1\\2', 'g') as t from j),
+        c as (select paper_id, page, order_ as pos, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10)), '^\\s+|\\s+$', '', 'g') as text from h)
+        select * from c where text <> ''""",
+    "section_pack": f"""with recursive n0 as (select *, coalesce(array_to_string(section_path[1:2], chr(1)), '') as k, coalesce(array_to_string(section_path[1:len(section_path) - 1], chr(1)), '') as parent, greatest(1, ceil(length(text) * 2 / 7.0::double))::int as size from {sql_rec('source_blocks', 'paper_id', 'order_', 'section_path', 'text')}),
+        n1 as (select *, case when lag(k) over (partition by paper_id order by order_) = k then 0 else 1 end as new from n0),
+        b as (select *, sum(new) over (partition by paper_id order by order_ rows unbounded preceding) as island from n1),
+        k as (select *, row_number() over (partition by paper_id, island order by order_) as i, case when sum(size) over (partition by paper_id, island) > {V.SECTION_MAX} then {V.SECTION_TARGET} else {V.SECTION_MAX} end as room from b),
+        fill as (select paper_id, island, i, size::bigint as held, 0 as piece from k where i = 1
+            union all select k.paper_id, k.island, k.i, case when f.held + k.size > room then k.size else f.held + k.size end, case when f.held + k.size > room then f.piece + 1 else f.piece end from fill f join k on k.paper_id = f.paper_id and k.island = f.island and k.i = f.i + 1),
+        parts as (select paper_id, island, piece, min(order_) as first, count(*) as nb, sum(size) as nt, arg_min(parent, order_) as parent from fill join k using (paper_id, island, i) group by 1, 2, 3),
+        p as (select *, row_number() over (partition by paper_id order by first) as j from parts),
+        merge_ as (select paper_id, j, nt::bigint as held, parent, 0 as grp from p where j = 1
+            union all select p.paper_id, p.j, case when p.nt < {V.SECTION_MIN} and m.parent = p.parent and m.held + p.nt <= {V.SECTION_MAX} then m.held + p.nt else p.nt end,
+                case when p.nt < {V.SECTION_MIN} and m.parent = p.parent and m.held + p.nt <= {V.SECTION_MAX} then m.parent else p.parent end,
+                case when p.nt < {V.SECTION_MIN} and m.parent = p.parent and m.held + p.nt <= {V.SECTION_MAX} then m.grp else m.grp + 1 end from merge_ m join p on p.paper_id = m.paper_id and p.j = m.j + 1)
+        select paper_id, grp as "group", min(first) as first_order, sum(nb)::int as n_blocks, sum(nt)::int as n_tokens from merge_ join p using (paper_id, j) group by 1, 2""",
     "entity_search": f"select id, title from {sql_rec('papers', 'title')} where lower(id || coalesce(title, '')) like '%over peat bog%' order by id limit 200",
 }

@@ -16,11 +16,12 @@ def rec(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
 
 
 def asked(c: Column | None = None) -> Column:
-    """The stated query set: what belongs to papers whose number is divisible by 50."""
-    return F.substring(F.col("paper_id") if c is None else c, 2, 7).cast("int") % 50 == 0
+    """The stated query set: records whose number, their paper's plus their own, is divisible by 50."""
+    c = F.col("id") if c is None else c
+    return (F.substring(c, 2, 7).cast("int") + F.regexp_extract(c, "([0-9]+)$", 1).cast("int")) % 50 == 0
 
 
-ASKED = "cast(substr({}, 2, 7) as int) % 50 = 0"
+ASKED = "(cast(substr({0}, 2, 7) as int) + cast(regexp_extract({0}, '([0-9]+)$', 1) as int)) % 50 = 0"
 
 
 def sql_rec(name: str, *cols: str) -> str:

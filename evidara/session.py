@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
 _WRITTEN: list[str] = []
+#: Steps written between two collections of the driver's garbage.
+GC_EVERY = 8
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -100,6 +102,9 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
         atexit.register(_sweep_at_exit, spark)
     _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    if len(_WRITTEN) % GC_EVERY == 0:
+        # executors keep a shuffle's files until the driver has collected what stands for it
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
