@@ -113,7 +113,8 @@ def rank_claims(queries: DataFrame, claims: DataFrame, retained: DataFrame, seed
     c = c.join(retained.select("query_id", F.col("context_id").alias("scope_context_id"), "overall", F.col("coverage").alias("c")), ["query_id", "scope_context_id"], "left").withColumn("coverage", F.coalesce("c", F.lit(0.0)))
     c = c.join(conditioning(c.select("query_id", "claim_id", "conditioning_facet_ids"), facets, query_facets), ["query_id", "claim_id"], "left")
     mixed = (1 - V.BETA) * F.col("overall") + V.BETA * F.col("conditioning")
-    c = c.withColumn("applicability", F.when(F.col("overall").isNotNull(), F.coalesce(mixed, F.col("overall"))))
+    # means may differ in their last bits with the order of rows; ties must not
+    c = c.withColumn("applicability", F.round(F.when(F.col("overall").isNotNull(), F.coalesce(mixed, F.col("overall"))), 12))
     for side, end in (("source", "from_state"), ("target", "to_state")):
         s = seeds.where(F.col("side") == side).groupBy("query_id", F.col("state_id").alias(end)).agg(F.max("score").alias(f"{side}_score"))
         c = c.join(s, ["query_id", end], "left").fillna({f"{side}_score": 0.0})

@@ -420,7 +420,7 @@ SQL = {
         z as (select *, (coalesce({V.WEIGHTS['context']}::double * app, 0) + {V.WEIGHTS['mechanism']}::double * mech + coalesce({V.WEIGHTS['intervention']}::double * iv, 0) + coalesce({V.WEIGHTS['endpoint']}::double * ep, 0))
             / (case when app is not null then {V.WEIGHTS['context']}::double else 0 end + {V.WEIGHTS['mechanism']}::double + case when iv is not null then {V.WEIGHTS['intervention']}::double else 0 end + case when ep is not null then {V.WEIGHTS['endpoint']}::double else 0 end) as score from y)
         select query_id, claim_id, rank, round(score, 6) as score, round(app, 6) as applicability, round(iv, 6) as intervention, channels from (select *, cast(row_number() over (partition by query_id order by round(score, 12) desc, app is null, round(coverage, 12) desc,
-            app desc nulls last, ep desc nulls last, claim_id) as int) as rank from z) where rank <= {V.RANKED}""",
+            round(app, 12) desc nulls last, ep desc nulls last, claim_id) as int) as rank from z) where rank <= {V.RANKED}""",
     "alternatives": f"""with {_ALT_KEYS}, f as (select *, 1 as pos from p where {ASKED.format('id')}),
         x as (select f.id as query_id, f.id as focal_claim_id, f.pos, c.id as claim_id,
             case when f.pol * c.pol < 0 then 0 when f.pol * c.pol = 0 and f.pol <> c.pol then 1 when f.s = c.s then 2 else 3 end as cls from f join p c on c.f = f.f and c.t = f.t and c.id <> f.id),
