@@ -34,4 +34,4 @@ def ingest(stream: DataFrame, root: str, table: str, checkpoint: str) -> Streami
     """Finished papers' rows replace those papers in a graph table, batch by batch."""
     from evidara.sources.graph_store import replace_papers
 
-    return stream.writeStream.foreachBatch(lambda df, _: replace_papers(root, table, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda df, _: replace_papers(root, {table: df})).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
