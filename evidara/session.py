@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _OWN_DIR: list[str] = []
 _WRITTEN: list[str] = []
 #: Steps written between two collections of the driver's garbage.
-GC_EVERY = 8
+GC_EVERY = 4
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:

@@ -148,12 +148,36 @@ def test_reversals_and_checks(spark):
     from evidara.operators.ranking import canonical_claims
 
     assert {r["claim_id"] for r in curation.reversals(canonical_claims(df)).collect()} == {"c1", "c2"}
-    rep = spark.createDataFrame(
-        [("q", "forward", 1, 1, True, ["CL1"], [["CL1"], ["CL9"]], [None], {"CL1": 1}, ["CL1"], [["CL1"], ["CL2", "CL3"]], "text")],
-        "query_id string, mode string, seeds int, n_facets int, expects_context boolean, ranked array<string>, path_claims array<array<string>>, path_applicability array<double>, blocks map<string,int>, cited array<string>, required array<array<string>>, answer string",
-    )
-    failed = {r["check"] for r in evidence.report_checks(rep).where("not passed").collect()}
-    assert failed == {"paths_use_ranked_claims", "paths_have_blocks", "known_path_applicability", "required_claims"}
+    row = dict(
+        query_id="q", expected_id="q", mode="forward", expected_mode="forward", n_facets=1, expects_context=True, gate_disabled=None, has_source=True, has_target=False, source_seeds=1, target_seeds=0, ranked=["CL1"],
+        path_claims=[["CL1"], ["CL9"]], path_applicability=[None], n_blocks=1, n_items=1, provenance=["CL1"], required=[["CL1"], ["CL2", "CL3"]], answer="text", warnings=None,
+    )
+    blank = dict.fromkeys(row) | {"query_id": "r", "expected_id": "s", "answer": " ", "warnings": [evidence.UNGROUNDED]}
+    got = evidence.report_checks(spark.createDataFrame([row, blank], evidence.CHECKED)).collect()
+    assert sum(r["query_id"] == "q" for r in got) == 12 + 2 + 2 and sum(r["query_id"] == "r" for r in got) == 12
+    failed = {r["check"] for r in got if r["query_id"] == "q" and not r["passed"]}
+    assert failed == {"paths_use_ranked_claims", "known_path_applicability", "required_claim_group_2"}
+    assert {r["check"] for r in got if r["query_id"] == "r" and r["passed"]} == {"query_mode", "query_context", "source_state_mapping", "target_state_mapping", "paths_use_ranked_claims"}
+
+
+def test_semantic_blocks_and_facet_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((40, 8))
+    rows = [("P" if i % 2 else "Q", f"b{i:02d}", i, x[i].tolist() if i != 7 else None) for i in range(40)] + [("P", "b99", 99, x[1].tolist())]
+    b = spark.createDataFrame(rows, "paper_id string, block_id string, order_ int, v array<double>")
+    q = spark.createDataFrame([("P", "q", x[1].tolist()), ("P", "q", x[4].tolist()), ("Q", "r", None)], "paper_id string, query_id string, qv array<double>")
+    for part in (retrieval.GROUP_BLOCKS, 3):
+        old, retrieval.GROUP_BLOCKS = retrieval.GROUP_BLOCKS, part
+        got = [(r["query_id"], r["block_id"]) for r in retrieval.semantic_blocks(b, q, 4).orderBy("rank").collect()]
+        retrieval.GROUP_BLOCKS = old
+        best = sorted((i for i in range(1, 40, 2) if i != 7), key=lambda i: (-round(max(x[i] @ x[1], x[i] @ x[4]), 12), i))
+        best.insert(best.index(1) + 1, 99)
+        assert got == [("q", f"b{i:02d}") for i in best[:4]]
+    f = spark.createDataFrame([("f", ["b2", "b1", "gone"]), ("g", []), ("h", None)], "id string, evidence_block_ids array<string>")
+    w = spark.createDataFrame([("q", k, [1.0, 0.0]) for k in "fgh"], "query_id string, facet_id string, qv array<double>")
+    blocks = spark.createDataFrame([("b1", 1, [0.0, 1.0]), ("b2", 2, [1.0, 0.0])], "id string, order_ int, v array<double>")
+    assert [tuple(r) for r in evidence.facet_blocks(w, f, blocks).collect()] == [("q", "f", "b2")]
+    assert [tuple(r) for r in evidence.facet_blocks(w.drop("qv"), f, blocks).collect()] == [("q", "f", "b1")]
 
 
 def test_closure_counts_a_diamond_once(spark):
@@ -204,9 +228,9 @@ def test_bundles_and_alias_hits_cover_all_papers(spark, tmp_path):
     c = [(f"{p}:C{k}", p, "albedo", ["run-a1"], [f"{p}:S2"]) for p in ("P0000001", "P0000050") for k in range(2)]
     spark.createDataFrame(b, "id string, paper_id string, order_ int, section_path array<string>, block_type string, text string").write.parquet(str(tmp_path / "source_blocks.parquet"))
     spark.createDataFrame(c, "id string, paper_id string, label string, aliases array<string>, evidence_block_ids array<string>").write.parquet(str(tmp_path / "contexts.parquet"))
-    got = {(r["group"], r["id"]) for r in retrieval_plans.hybrid_bundle(spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["block_id"]) for r in retrieval_plans.hybrid_bundle(spark, str(tmp_path)).collect()}
     assert got == {(x[0], y[0]) for x in c for y in b if x[1] == y[1]}
-    hits = {tuple(r) for r in retrieval_plans.alias_hits_all(spark, str(tmp_path)).collect()}
+    hits = {tuple(r) for r in retrieval_plans.alias_hits(spark, str(tmp_path)).collect()}
     assert hits == {(x[0], f"{x[1]}:S0") for x in c}
 
 
