@@ -453,3 +453,17 @@ def test_a_garbling_of_no_code_table_is_learned(spark):
     assert {r[0] for r in encoding.garbled_documents(df).collect()} == set(bad)
     back = {r["doc_id"]: r["text"] for r in encoding.restore_documents(df).collect()}
     assert sum(back[d] == t for d, t in bad.items()) >= 10
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    ends = "struct<concept:string,state:string>"
+    claims = spark.createDataFrame([("c", ("soil moisure", None), ("", "higher"), "x", 7, "y")], f"id string, from_ {ends}, to_ {ends}, value string, term_id int, field string")
+    t = spark.createDataFrame(TERMS, "term_id int, field string, term string, known_aliases array<string>").withColumn("value", F.lit("clash"))
+    assert sorted(map(tuple, terms.mapped_endpoints(claims, t).collect())) == [("c", "from", "concept", 1), ("c", "to", "state", 4)]
+    assert sorted(map(tuple, terms.mapped_endpoints(claims, t.limit(0)).collect())) == [("c", "from", "concept", 0), ("c", "to", "state", 0)]
+    assert terms.mapped_endpoints(claims.limit(0), t).count() == 0
+    docs = spark.createDataFrame([(1, "some words of a text that holds no item at all, long enough for a window", 5), (2, None, 6)], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([], "item_id long, question string, passage string")
+    assert leakage.leaked_items(docs, items).count() == 0 and leakage.paraphrased_items(docs, items).count() == 0
+    blocks = spark.createDataFrame([("a", "P", ["S"], 1, "word " * 2000, 3, "z")], "id string, paper_id string, section_path array<string>, order_ int, text string, piece int, block_id string")
+    assert [r[0] for r in split.oversized_blocks(blocks).collect()] == ["a"] and split.oversized_blocks(blocks.limit(0)).count() == 0
