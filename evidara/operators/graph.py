@@ -14,18 +14,17 @@ from evidara.session import cut
 def closure(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, ancestor) with the node itself; edges are (node, parent). Loops are safe.
 
-    Squaring: every round doubles the length of the ways it knows, so depth d takes
-    about log2(d) joins; each pair is kept once however many ways lead to it.
+    Every round doubles the length of the ways it knows, so depth d takes about log2(d)
+    joins. Only the pairs that the last round found are joined with those known: a shortest
+    way of up to twice the length begins with one of them. Each pair is written once.
     """
-    known = cut(edges.select("node", F.col("parent").alias("ancestor")).where("node <> ancestor").distinct(), "closure")
-    while True:
-        step = known.select(F.col("node").alias("mid"), F.col("ancestor").alias("far"))
-        grown = known.join(step, known["ancestor"] == step["mid"]).select("node", F.col("far").alias("ancestor")).where("node <> ancestor")
-        grown = cut(known.unionByName(grown).distinct(), "closure")
-        same = grown.count() == known.count()
-        known = grown
-        if same:
-            break
+    fresh = cut(edges.select("node", F.col("parent").alias("ancestor")).where("node <> ancestor").distinct(), "closure")
+    known = fresh
+    while not fresh.isEmpty():
+        step = known.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("far"))
+        grown = fresh.join(step, "ancestor").select("node", F.col("far").alias("ancestor")).where("node <> ancestor").distinct()
+        fresh = cut(grown.join(known, ["node", "ancestor"], "left_anti"), "closure")
+        known = known.unionByName(fresh)
     return known.unionByName(nodes.select("node", F.col("node").alias("ancestor")).distinct())
 
 

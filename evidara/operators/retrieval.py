@@ -176,14 +176,15 @@ def maxsim(query_facets: DataFrame, candidates: DataFrame, pairs: DataFrame) ->
     return out.withColumns({c: F.round(c, 12) for c in ("semantic", "coverage", "overall")})
 
 
-def retrieve_contexts(queries: DataFrame, query_facets: DataFrame, contexts: DataFrame, effective: DataFrame) -> DataFrame:
+def retrieve_contexts(queries: DataFrame, query_facets: DataFrame, contexts: DataFrame, effective: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, context_id, coarse, semantic, coverage, overall, rank): coarse top-k by vector, then MaxSim, then the best kept.
 
-    A question without facets retrieves no context.
+    ``effective``: context_id, facet_id, domain; ``vectors``: facet_id, cn, cc. The vectors meet the facets
+    of the retrieved contexts only. A question without facets retrieves no context.
     """
     asked = queries.join(query_facets.select("query_id").distinct(), "query_id", "left_semi")
     coarse = exact_topk(asked.select("query_id", "qv"), contexts, V.COARSE).select("query_id", F.col("id").alias("context_id"), F.col("score").alias("coarse"))
-    held = effective.join(coarse.select("query_id", "context_id"), "context_id")
+    held = effective.join(coarse.select("query_id", "context_id"), "context_id").join(vectors, "facet_id")
     scored = maxsim(query_facets, held, coarse)
     order = W.partitionBy("query_id").orderBy(F.desc("overall"), F.desc("semantic"), F.desc("coarse"), "context_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= V.RERANKED)

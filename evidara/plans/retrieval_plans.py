@@ -84,12 +84,14 @@ def _questions(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     f = cut(_facets(spark, d), "facets")
     q = c.where(asked()).select(F.col("id").alias("query_id"), _usable(F.col("retrieval_embedding")).alias("qv"), _hashed("label").alias("intervention_vector"))
     qf = f.where(asked(F.col("context_id"))).select(F.col("context_id").alias("query_id"), F.col("id").alias("query_facet_id"), "domain", F.col("n").alias("qn"), F.col("c").alias("qc"))
-    eff = graph.effective_facets(c.select("id", "parent_ids"), f).select("context_id", "facet_id", "domain", F.col("n").alias("cn"), F.col("c").alias("cc"))
-    return {"q": cut(q, "q"), "qf": cut(qf, "qf"), "contexts": c.select("id", "paper_id", _usable(F.col("retrieval_embedding")).alias("v")), "effective": cut(eff, "effective"), "facets": f}
+    # ids go down the hierarchy, vectors are joined to what a filter leaves
+    eff = graph.effective_facets(c.select("id", "parent_ids"), f.select("id", "context_id", "domain")).select("context_id", "facet_id", "domain")
+    vectors = f.select(F.col("id").alias("facet_id"), F.col("n").alias("cn"), F.col("c").alias("cc"))
+    return {"q": cut(q, "q"), "qf": cut(qf, "qf"), "contexts": c.select("id", "paper_id", _usable(F.col("retrieval_embedding")).alias("v")), "effective": cut(eff, "effective"), "vectors": vectors, "facets": f}
 
 
 def _retrieved(b: dict[str, DataFrame]) -> DataFrame:
-    return retrieval.retrieve_contexts(b["q"], b["qf"], b["contexts"], b["effective"])
+    return retrieval.retrieve_contexts(b["q"], b["qf"], b["contexts"], b["effective"], b["vectors"])
 
 
 def context_retrieval(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +102,7 @@ def context_retrieval(spark: SparkSession, d: str) -> DataFrame:
 def maxsim_matches(spark: SparkSession, d: str) -> DataFrame:
     b = _questions(spark, d)
     top = retrieval.exact_topk(b["q"].join(b["qf"].select("query_id").distinct(), "query_id", "left_semi").select("query_id", "qv"), b["contexts"], 10)
-    held = b["effective"].join(top.select("query_id", F.col("id").alias("context_id")), "context_id")
+    held = b["effective"].join(top.select("query_id", F.col("id").alias("context_id")), "context_id").join(b["vectors"], "facet_id")
     m = retrieval.facet_matches(b["qf"], held)
     return m.select("query_id", "context_id", "domain", "query_facet_id", "facet_id", F.round("pair", 6).alias("pair"))
 
@@ -112,7 +114,7 @@ def coherence_pairs(spark: SparkSession, d: str) -> DataFrame:
     q = c.join(b["q"].select(F.col("query_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "left")
     pairs = cut(q.join(c.withColumnRenamed("id", "right"), "paper_id").where(F.col("left") != F.col("right")).select("left", "right"), "pairs")
     ids = pairs.select(F.col("left").alias("context_id")).union(pairs.select("right")).distinct()
-    f = cut(b["effective"].join(ids, "context_id", "left_semi").select(F.col("context_id").alias("set_id"), "facet_id", "domain", F.col("cn").alias("n"), F.col("cc").alias("c")), "sets")
+    f = cut(b["effective"].join(ids, "context_id", "left_semi").join(b["vectors"], "facet_id").select(F.col("context_id").alias("set_id"), "facet_id", "domain", F.col("cn").alias("n"), F.col("cc").alias("c")), "sets")
     return retrieval.coherence(f, pairs).select("left", "right", F.round("coherence", 6).alias("coherence"))
 
 
@@ -157,7 +159,7 @@ def _searched(b: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     pairs = paths.adjacent(ranked)
     scope = b["claims"].select(F.col("id").alias("claim"), F.col("scope_context_id").alias("context_id"))
     use = pairs.select(F.col("left").alias("claim")).distinct().join(scope, "claim")
-    f = b["effective"].join(use, "context_id").select(F.col("claim").alias("set_id"), "facet_id", "domain", F.col("cn").alias("n"), F.col("cc").alias("c"))
+    f = b["effective"].join(use, "context_id").join(b["vectors"], "facet_id").select(F.col("claim").alias("set_id"), "facet_id", "domain", F.col("cn").alias("n"), F.col("cc").alias("c"))
     return paths.search(b["questions"], ranked, b["seeds"], retrieval.coherence(cut(f, "sets"), cut(pairs, "pairs"))), ranked
 
 
