@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidara.functions import text as X
 from evidara.functions import vector as N
 from evidara.functions import vocabulary as V
+from evidara.session import cut
 
 #: Query vectors that one pass over the table holds; more are handled in blocks.
 QUERY_BLOCK = 4_096
@@ -203,3 +204,88 @@ def coherence(facets: DataFrame, pairs: DataFrame) -> DataFrame:
     ok = pairs.join(has.withColumnRenamed("set_id", "left"), "left", "left_semi").join(has.withColumnRenamed("set_id", "right"), "right", "left_semi")
     ok = ok.join(score.toDF("left", "right", "f"), ["left", "right"]).join(score.toDF("right", "left", "b"), ["left", "right"])
     return pairs.join(ok.select("left", "right", (0.5 * (F.col("f") + F.col("b"))).alias("coherence")), ["left", "right"], "left")
+
+
+#: Sets of a group that ask, and sets that they are compared with, in one task.
+LEFT_SETS, RIGHT_SETS = 256, 4_096
+
+
+def coherence_within(sets: DataFrame, facets: DataFrame, vectors: DataFrame, group: str = "paper_id") -> DataFrame:
+    """(left, right, coherence) of every asked set with each other set of its group: ``coherence`` where all pairs are wanted.
+
+    ``sets``: group, set_id, asked; ``facets``: set_id, facet_id, domain; ``vectors``: facet_id, n, c. A group's sets
+    are dealt out to as many tasks as they need; a task gets the vectors of its sets' facets once each, and
+    the products of two facets serve both directions and all pairs that hold them.
+    """
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    n = sets.groupBy(group).agg(blocks(F.count_if("asked"), LEFT_SETS).alias("lefts"), blocks(F.count("*"), RIGHT_SETS).alias("rights"), F.max("asked").alias("any")).where("any").drop("any")
+    held = facets.groupBy("set_id").agg(F.collect_list("facet_id").alias("ids"))
+    dealt = sets.join(n, group).join(held, "set_id", "left")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    own = lambda k, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), F.col(k)).cast("int")
+    left = dealt.where("asked").select(group, own("lefts", 1).alias("l"), every("rights").alias("r"), F.lit("left").alias("kind"), "set_id", "ids")
+    right = dealt.select(group, every("lefts").alias("l"), own("rights", 2).alias("r"), F.lit("right").alias("kind"), "set_id", "ids")
+    dealt = cut(left.unionByName(right), "dealt")
+    known = dealt.select(group, "l", "r", F.explode("ids").alias("facet_id")).distinct().join(facets.select("facet_id", "domain").distinct().join(vectors, "facet_id"), "facet_id")
+    rows = dealt.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("domain", "string"), ("n", "array<double>"), ("c", "array<double>"))]).unionByName(
+        known.select(group, "l", "r", F.lit("facet").alias("kind"), F.col("facet_id").alias("set_id"), F.lit(None).cast("array<string>").alias("ids"), "domain", N.doubles(F.col("n")).alias("n"), N.doubles(F.col("c")).alias("c"))
+    )
+    return rows.groupBy(group, "l", "r").applyInPandas(_coherence_block, "left string, right string, coherence double")
+
+
+def _padded(many) -> np.ndarray:
+    """Rows of one length; null is 0 throughout."""
+    out = np.zeros((len(many), max((len(v) for v in many if v is not None), default=0)))
+    for i, v in enumerate(many):
+        if v is not None:
+            out[i, : len(v)] = v
+    return out
+
+
+def _coherence_block(p: pd.DataFrame) -> pd.DataFrame:
+    f, left, right = (p[p.kind == k] for k in ("facet", "left", "right"))
+    place: dict[str, tuple] = {}
+    tables = {}
+    for domain, g in f[f.domain.notna()].groupby("domain", sort=False):
+        place |= {i: (domain, k) for k, i in enumerate(g.set_id)}
+        tables[domain] = (_padded(g.n.to_numpy()), _padded(g.c.to_numpy()))
+    # a facet without a domain matches nothing and weighs nothing
+    split = lambda ids: [place[i] for i in (ids if ids is not None else ()) if i in place]
+    names, weight = right.set_id.to_numpy(), lambda d: V.DOMAIN_WEIGHTS.get(d, 0.0)
+    some = np.array([x is not None and len(x) > 0 for x in right.ids], dtype=bool)
+    refs: dict[str, list[list[int]]] = {d: [[], [], []] for d in tables}  # facets, first of each set, sets
+    total = np.zeros(len(names))
+    for k, ids in enumerate(right.ids):
+        for d, i in split(ids):
+            at, first, whose = refs[d]
+            if not whose or whose[-1] != k:
+                first.append(len(at))
+                whose.append(k)
+                total[k] += weight(d)
+            at.append(i)
+    refs = {d: tuple(np.array(x, dtype=np.int64) for x in r) for d, r in refs.items()}
+    out = []
+    for name, ids in zip(left.set_id, left.ids, strict=True):
+        own: dict[str, list[int]] = {}
+        for d, i in split(ids):
+            own.setdefault(d, []).append(i)
+        kw, there, back = np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+        for d, mine in own.items():
+            at, first, whose = refs[d]
+            if not len(whose):
+                continue
+            notion, content = tables[d]
+            pair = V.ALPHA * np.maximum(0.0, notion @ notion[mine].T) + (1 - V.ALPHA) * np.maximum(0.0, content @ content[mine].T)
+            best = np.maximum.reduceat(pair[at], first, axis=0).mean(axis=1)
+            met = np.add.reduceat(pair.max(axis=1)[at], first) / np.diff(np.append(first, len(at)))
+            kw[whose] += weight(d)
+            there[whose] += weight(d) * best
+            back[whose] += weight(d) * met
+        mean = lambda x: np.divide(x, kw, out=np.zeros(len(x)), where=kw > 0)  # noqa: B023, E731
+        tw = sum(weight(d) for d in own)
+        ways = ((mean(there), kw / tw if tw > 0 else np.zeros(len(kw))), (mean(back), np.divide(kw, total, out=np.zeros(len(kw)), where=total > 0)))
+        f, b = (np.round(s * (1 - V.MISSING * (1 - coverage)), 12) for s, coverage in ways)
+        known = some if ids is not None and len(ids) else np.zeros(len(names), dtype=bool)
+        x = pd.DataFrame({"left": name, "right": names, "coherence": np.where(known, 0.5 * (f + b), np.nan)})
+        out.append(x[names != name])
+    return pd.concat(out) if out else pd.DataFrame({"left": pd.Series([], dtype=object), "right": pd.Series([], dtype=object), "coherence": pd.Series([], dtype=float)})

@@ -109,13 +109,14 @@ def maxsim_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def coherence_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each asked context with every other one of its paper."""
-    b = _questions(spark, d)
-    c = b["contexts"].select("id", "paper_id")
-    q = c.join(b["q"].select(F.col("query_id").alias("id")), "id", "left_semi").withColumnRenamed("id", "left")
-    pairs = cut(q.join(c.withColumnRenamed("id", "right"), "paper_id").where(F.col("left") != F.col("right")).select("left", "right"), "pairs")
-    ids = pairs.select(F.col("left").alias("context_id")).union(pairs.select("right")).distinct()
-    f = cut(b["effective"].join(ids, "context_id", "left_semi").join(b["vectors"], "facet_id").select(F.col("context_id").alias("set_id"), "facet_id", "domain", F.col("cn").alias("n"), F.col("cc").alias("c")), "sets")
-    return retrieval.coherence(f, pairs).select("left", "right", F.round("coherence", 6).alias("coherence"))
+    c = cut(rec(spark, d, "contexts", "paper_id", "parent_ids"), "contexts")
+    f = cut(rec(spark, d, "facets", "context_id", "domain"), "facets")
+    sets = c.select("paper_id", F.col("id").alias("set_id"), F.coalesce(asked(), F.lit(False)).alias("asked"))
+    sets = sets.join(sets.where("asked").select("paper_id").distinct(), "paper_id", "left_semi")
+    eff = graph.effective_facets(c.select("id", "parent_ids"), f).select(F.col("context_id").alias("set_id"), "facet_id", "domain")
+    eff = cut(eff.join(sets.select("set_id"), "set_id", "left_semi"), "effective")
+    vectors = _facets(spark, d).select(F.col("id").alias("facet_id"), "n", "c")
+    return retrieval.coherence_within(sets, eff, vectors).select("left", "right", F.round("coherence", 6).alias("coherence"))
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
