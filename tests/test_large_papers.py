@@ -4,7 +4,7 @@ import itertools
 
 import numpy as np
 
-from evidara.operators import retrieval
+from evidara.operators import evidence, retrieval
 
 
 def test_coherence_within_equals_pairwise(spark, monkeypatch):
@@ -22,3 +22,14 @@ def test_coherence_within_equals_pairwise(spark, monkeypatch):
     want = retrieval.coherence(f.join(v, "facet_id"), spark.createDataFrame(pairs, "left string, right string"))
     told = lambda df: {(r["left"], r["right"]): None if r["coherence"] is None else round(r["coherence"], 10) for r in df.collect()}
     assert told(got) == told(want) and len(pairs) == 28 and got.count() == 28
+
+
+def test_grounding_takes_supports_one_by_one(spark):
+    rows = [("q", "i1", "mechanism", ["c1"], ["f1", "f2"]), ("q", "i2", "mechanism", ["c1"], ["f1", None]), ("q", "i3", "mechanism", ["c1"], None), ("q", "i4", "mechanism", [], ["f1"]), ("q", "i5", "limitation", [], []), (None, "i6", "limitation", ["c1"], []), ("q", "i7", "limitation", ["c2"], ["f1"]), ("q", "i1", "mechanism", ["c1"], ["f9"])]
+    items = spark.createDataFrame(rows, "query_id string, item string, kind string, claim_ids array<string>, facet_ids array<string>")
+    allowed = lambda *ids: spark.createDataFrame([("q", i) for i in ids] + [("r", "c2"), (None, "c1")], "query_id string, id string")
+    x = evidence.grounded(items, allowed("c1"), allowed("f1", "f2", "f2"))
+    assert "collect_set" not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["item"], tuple(r["facet_ids"] or ()), r["grounded"]) for r in x.collect()} == {
+        ("i1", ("f1", "f2"), True), ("i2", ("f1", None), False), ("i3", (), None), ("i4", ("f1",), False), ("i5", (), True), ("i6", (), False), ("i7", ("f1",), False), ("i1", ("f9",), False),
+    }
