@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evidara.functions import text as X
 from evidara.functions import vector as N
 from evidara.functions import vocabulary as V
+from evidara.functions.phrases import Phrases
 from evidara.session import cut
 
 #: Query vectors that one pass over the table holds; more are handled in blocks.
@@ -145,6 +146,36 @@ def semantic_blocks(blocks: DataFrame, queries: DataFrame, k: int, group: str =
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "query_id", "block_id", "score", "rank")
 
 
+def dealt(blocks: DataFrame, group: str) -> tuple[DataFrame, int]:
+    """(group, parts) and the number of bins that hold GROUP_BLOCKS blocks each: where ``in_bin`` deals large groups out and small ones together."""
+    n = cut(blocks.groupBy(group).agg(F.count("*").alias("n"), F.ceil(F.count("*") / GROUP_BLOCKS).cast("int").alias("parts")), "parts")
+    return n.select(group, "parts"), max(1, math.ceil((n.agg(F.sum("n")).first()[0] or 0) / GROUP_BLOCKS))
+
+
+def in_bin(group: str, part: Column, bins: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(group), part.cast("int")), F.lit(bins)).cast("int")
+
+
+def holding(blocks: DataFrame, keys: DataFrame, group: str = "paper_id") -> DataFrame:
+    """(group, key, block_id): the blocks whose text key ``t`` holds a key of their group, anywhere.
+
+    ``blocks``: group, block_id, t; ``keys``: group, key. A text is read once for all keys of its group.
+    """
+    n, bins = dealt(blocks, group)
+    asked = keys.where("key <> ''").select(group, "key").distinct()
+    b = blocks.join(asked.select(group).distinct(), group, "left_semi").join(n, group)
+    b = b.select(group, "block_id", "t", in_bin(group, F.pmod(F.xxhash64("block_id"), F.col("parts")), bins).alias("bin"))
+    k = asked.join(n, group).select(group, "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    k = k.select(group, "key", in_bin(group, F.col("part"), bins).alias("bin")).distinct()
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        named = {g: Phrases(own) for g, own in y.groupby(group, sort=False)["key"]}
+        out = [(g, key, i) for g, i, t in zip(x[group], x.block_id, x.t, strict=True) if g in named for key in named[g].found(t)]
+        return pd.DataFrame(out, columns=[group, "key", "block_id"], dtype=object)
+
+    return b.groupBy("bin").cogroup(k.groupBy("bin")).applyInPandas(run, f"{group} {dict(blocks.dtypes)[group]}, key string, block_id string")
+
+
 def facet_matches(query_facets: DataFrame, candidates: DataFrame) -> DataFrame:
     """Best candidate facet for each query facet and context, within the domain.
 
@@ -220,14 +251,14 @@ def coherence_within(sets: DataFrame, facets: DataFrame, vectors: DataFrame, gro
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     n = sets.groupBy(group).agg(blocks(F.count_if("asked"), LEFT_SETS).alias("lefts"), blocks(F.count("*"), RIGHT_SETS).alias("rights"), F.max("asked").alias("any")).where("any").drop("any")
     held = facets.groupBy("set_id").agg(F.collect_list("facet_id").alias("ids"))
-    dealt = sets.join(n, group).join(held, "set_id", "left")
+    whole = sets.join(n, group).join(held, "set_id", "left")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     own = lambda k, seed: F.pmod(F.xxhash64("set_id", F.lit(seed)), F.col(k)).cast("int")
-    left = dealt.where("asked").select(group, own("lefts", 1).alias("l"), every("rights").alias("r"), F.lit("left").alias("kind"), "set_id", "ids")
-    right = dealt.select(group, every("lefts").alias("l"), own("rights", 2).alias("r"), F.lit("right").alias("kind"), "set_id", "ids")
-    dealt = cut(left.unionByName(right), "dealt")
-    known = dealt.select(group, "l", "r", F.explode("ids").alias("facet_id")).distinct().join(facets.select("facet_id", "domain").distinct().join(vectors, "facet_id"), "facet_id")
-    rows = dealt.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("domain", "string"), ("n", "array<double>"), ("c", "array<double>"))]).unionByName(
+    left = whole.where("asked").select(group, own("lefts", 1).alias("l"), every("rights").alias("r"), F.lit("left").alias("kind"), "set_id", "ids")
+    right = whole.select(group, every("lefts").alias("l"), own("rights", 2).alias("r"), F.lit("right").alias("kind"), "set_id", "ids")
+    both = cut(left.unionByName(right), "dealt")
+    known = both.select(group, "l", "r", F.explode("ids").alias("facet_id")).distinct().join(facets.select("facet_id", "domain").distinct().join(vectors, "facet_id"), "facet_id")
+    rows = both.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("domain", "string"), ("n", "array<double>"), ("c", "array<double>"))]).unionByName(
         known.select(group, "l", "r", F.lit("facet").alias("kind"), F.col("facet_id").alias("set_id"), F.lit(None).cast("array<string>").alias("ids"), "domain", N.doubles(F.col("n")).alias("n"), N.doubles(F.col("c")).alias("c"))
     )
     return rows.groupBy(group, "l", "r").applyInPandas(_coherence_block, "left string, right string, coherence double")

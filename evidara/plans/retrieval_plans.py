@@ -58,7 +58,7 @@ def alias_hits(spark: SparkSession, d: str) -> DataFrame:
     a = a.select(F.col("id").alias("context_id"), "paper_id", F.explode(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias")).withColumn("key", X.text_key(F.col("alias"))).where("key <> ''")
     b = b.select(F.col("id").alias("block_id"), "paper_id", X.text_key(F.col("text")).alias("t"))
     # a key that many contexts of a paper share is looked for once
-    held = b.join(a.select("paper_id", "key").distinct(), "paper_id").where(F.contains(F.col("t"), F.col("key"))).select("paper_id", "key", "block_id")
+    held = retrieval.holding(b, a)
     return held.join(a, ["paper_id", "key"]).select("context_id", "block_id").distinct()
 
 

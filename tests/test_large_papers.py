@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 
+from evidara.functions import phrases
 from evidara.operators import evidence, retrieval
 
 
@@ -33,3 +34,21 @@ def test_grounding_takes_supports_one_by_one(spark):
     assert {(r["item"], tuple(r["facet_ids"] or ()), r["grounded"]) for r in x.collect()} == {
         ("i1", ("f1", "f2"), True), ("i2", ("f1", None), False), ("i3", (), None), ("i4", ("f1",), False), ("i5", (), True), ("i6", (), False), ("i7", ("f1",), False), ("i1", ("f9",), False),
     }
+
+
+def test_phrases_are_found_wherever_they_stand(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    words = ["a", "ab", "b", "ba", "abb", "c"]
+    made = lambda least, most: " ".join(rng.choice(words, rng.integers(least, most)))
+    keys, texts = sorted({made(1, 5) for _ in range(80)}), ["", *(made(1, 14) for _ in range(200))]
+    assert len(keys) > phrases.FEW
+    for own in (keys, keys[:9]):
+        p = phrases.Phrases(own)
+        assert all(p.found(t) == {k for k in own if k in t} for t in texts)
+    monkeypatch.setattr(retrieval, "GROUP_BLOCKS", 30)
+    b = spark.createDataFrame([("PQR"[min(k // 90, 2)], f"b{k}", t) for k, t in enumerate(texts)], "paper_id string, block_id string, t string")
+    k = spark.createDataFrame([("P", x) for x in keys] + [("Q", "ab c"), ("Q", "ab c"), ("S", "a"), ("P", "")], "paper_id string, key string")
+    plain = b.join(k.where("key <> ''").distinct(), "paper_id").where(F.contains("t", "key")).select("paper_id", "key", "block_id")
+    assert sorted(map(tuple, retrieval.holding(b, k).collect())) == sorted(map(tuple, plain.collect()))
