@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,29 +84,87 @@ def bm25(blocks: DataFrame, queries: DataFrame, k: int, group: str = "paper_id")
     texts of one query_id give the best of them, a repeated word counts twice. Blocks that
     share no word score 0 and fill up the k; ties go to the smaller order.
     """
-    docs = blocks.withColumn("words", X.word_list(F.col("text"))).withColumn("len", F.size("words"))
-    size = docs.groupBy(group).agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
-    tf = docs.select(group, "block_id", "len", F.explode("words").alias("w")).groupBy(group, "block_id", "len", "w").agg(F.count("*").alias("tf"))
-    queries = queries.select(group, "query_id", F.coalesce("text", F.lit("")).alias("qt"))
+    most = k
+    n, bins = dealt(blocks, group)
+    kind = dict(blocks.dtypes)[group]
+    spaced = lambda c: F.concat_ws(" ", X.word_list(F.col(c)))
+    queries = cut(queries.select(group, "query_id", F.coalesce("text", F.lit("")).alias("qt")).distinct(), "queries")
     # a text that many queries of a group share is scored once
     texts = queries.select(group, "qt").distinct()
-    asked = texts.select(group, "qt", F.explode(X.word_list(F.col("qt"))).alias("w")).groupBy(group, "qt", "w").agg(F.count("*").alias("times"))
-    # only words that are asked for go through the join
-    held = tf.join(asked.select(group, "w").distinct(), [group, "w"], "left_semi")
-    df = held.groupBy(group, "w").agg(F.count("*").alias("df"))
+    asked = cut(texts.select(group, "qt", F.explode(X.word_list(F.col("qt"))).alias("w")).groupBy(group, "qt", "w").agg(F.count("*").cast("double").alias("times")), "asked")
+    b = blocks.join(texts.select(group).distinct(), group, "left_semi").join(n, group)
+    b = b.select(group, "block_id", "order_", spaced("text").alias("t"), in_bin(group, F.pmod(F.xxhash64("block_id"), F.col("parts")), bins).alias("bin"))
+    bins_of = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+
+    def counted(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        own = {g: set(w) for g, w in y.groupby(group, sort=False)["w"]}
+        out = []
+        for g, i, o, t in zip(x[group], x.block_id, x.order_, x.t, strict=True):
+            words, wanted = t.split(" ") if t else [], own.get(g, ())
+            held = Counter(w for w in words if w in wanted)
+            out.append((g, i, o, len(words), list(held), list(held.values())))
+        return pd.DataFrame(out, columns=[group, "block_id", "order_", "len", "ws", "tf"])
+
+    # only words that are asked for are kept
+    wanted = asked.select(group, "w").distinct().join(n, group).select(group, "w", bins_of).select(group, "w", in_bin(group, F.col("part"), bins).alias("bin")).distinct()
+    post = b.groupBy("bin").cogroup(wanted.groupBy("bin")).applyInPandas(counted, f"{group} {kind}, block_id string, order_ int, len int, ws array<string>, tf array<int>")
+    post = cut(post, "postings")
+    size = post.groupBy(group).agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avg"))
+    df = post.select(group, F.explode("ws").alias("w")).groupBy(group, "w").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (V.BM25_K1 + 1) / (F.col("tf") + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("len") / F.col("avg")))
-    scored = held.join(df, [group, "w"]).join(size, group).join(asked, [group, "w"]).groupBy(group, "qt", "block_id").agg(F.sum(part * F.col("times")).alias("s"))
-    # what shares a word scores above 0, so the group's first k blocks hold all that may fill up
-    at = docs.select(group, "block_id", "order_")
-    fill = at.withColumn("o", F.row_number().over(W.partitionBy(group).orderBy("order_", "block_id"))).where(F.col("o") <= k).drop("o")
-    every = scored.join(at, [group, "block_id"]).select(group, "qt", "block_id", "order_", "s").unionByName(texts.join(fill, group).withColumn("s", F.lit(0.0)))
-    every = every.groupBy(group, "qt", "block_id", "order_").agg(F.max("s").alias("score"))
-    best = every.withColumn("r", F.row_number().over(W.partitionBy(group, "qt").orderBy(F.desc("score"), "order_", "block_id"))).where(F.col("r") <= k)
+    known = asked.join(df, [group, "w"]).join(size, group).groupBy(group, "qt").agg(F.array_sort(F.collect_list(F.struct("w", idf.alias("idf"), "times"))).alias("asked"))
+    y = texts.join(size.select(group, "avg"), group).join(known, [group, "qt"], "left").join(n, group)
+    y = y.select(group, "qt", "avg", *[F.col(f"asked.{c}").alias(c) for c in ("w", "idf", "times")], bins_of).withColumn("bin", in_bin(group, F.col("part"), bins)).drop("part").dropDuplicates([group, "qt", "bin"])
+    at = post.join(n, group).withColumn("bin", in_bin(group, F.pmod(F.xxhash64("block_id"), F.col("parts")), bins)).drop("parts")
+
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        mine, out = dict(list(y.groupby(group, sort=False))), []
+        for g, own in x.groupby(group, sort=False):
+            if g not in mine:
+                continue
+            own = own.sort_values(["order_", "block_id"])  # so that a stable sort keeps ties in order
+            avg, length = mine[g].avg.iloc[0], own["len"].to_numpy()
+            rows: dict[str, list[int]] = {}
+            tfs: dict[str, list[int]] = {}
+            for r, (ws, tf) in enumerate(zip(own.ws, own.tf, strict=True)):
+                for w, c in zip(ws, tf, strict=True):
+                    rows.setdefault(w, []).append(r)
+                    tfs.setdefault(w, []).append(c)
+            held = {w: (np.array(r), np.array(tfs[w], dtype=float), length[r]) for w, r in rows.items()}
+            ids, order = own.block_id.to_numpy(), own.order_.to_numpy()
+            for qt, ws, idfs, times in zip(mine[g].qt, mine[g].w, mine[g].idf, mine[g].times, strict=True):
+                s = np.zeros(len(own))
+                for w, i, m in zip(ws, idfs, times, strict=True) if ws is not None else ():
+                    if w in held:
+                        r, tf, ln = held[w]
+                        s[r] += i * tf * (V.BM25_K1 + 1) / (tf + V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * ln / avg)) * m
+                top = _first(s, most)
+                out.append((g, qt, ids[top], order[top], s[top]))
+        return _told(out, [group, "qt", "block_id", "order_", "score"])
+
+    every = at.groupBy("bin").cogroup(y.groupBy("bin")).applyInPandas(best, f"{group} {kind}, qt string, block_id string, order_ int, score double")
+    best_of = every.withColumn("r", F.row_number().over(W.partitionBy(group, "qt").orderBy(F.desc("score"), "order_", "block_id"))).where(F.col("r") <= most)
     # a query's k best are among the k best of its texts
-    out = best.join(queries.distinct(), [group, "qt"]).groupBy(group, "query_id", "block_id", "order_").agg(F.max("score").alias("score"))
+    out = best_of.join(queries, [group, "qt"]).groupBy(group, "query_id", "block_id", "order_").agg(F.max("score").alias("score"))
     order = W.partitionBy(group, "query_id").orderBy(F.desc("score"), "order_", "block_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "query_id", "block_id", "score", "rank")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(group, "query_id", "block_id", "score", "rank")
+
+
+def _first(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest, in order; ties in order of place."""
+    if len(s) > 4 * k:
+        at = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
+        return at[np.argsort(-s[at], kind="stable")[:k]]
+    return np.argsort(-s, kind="stable")[:k]
+
+
+def _told(out: list[tuple], names: list[str]) -> pd.DataFrame:
+    """A frame of (group, name, ids, orders, scores), a row an id."""
+    if not out:
+        return pd.DataFrame({c: pd.Series([], dtype=float if c == "score" else object) for c in names})
+    times = [len(x[2]) for x in out]
+    first = [np.repeat(np.array([x[c] for x in out], dtype=object), times) for c in (0, 1)]
+    return pd.DataFrame(dict(zip(names, [*first, *[np.concatenate([x[c] for x in out]) for c in (2, 3, 4)]], strict=True)))
 
 
 #: Blocks of a group that meet its queries in one task.
@@ -120,28 +179,30 @@ def semantic_blocks(blocks: DataFrame, queries: DataFrame, k: int, group: str =
     stay; ties go to the smaller order, then id. A group's blocks are dealt out to as many tasks as
     they need, its queries to each of them, and only each task's k best are shuffled.
     """
-    b = blocks.where(F.col("v").isNotNull()).select(group, "block_id", "order_", "v")
-    n = b.groupBy(group).agg(F.ceil(F.count("*") / GROUP_BLOCKS).cast("int").alias("parts"))
-    b = b.join(n, group).withColumn("part", F.pmod(F.xxhash64("block_id"), F.col("parts")).cast("int")).drop("parts")
-    q = queries.where(F.col("qv").isNotNull()).join(n, group).select(group, "query_id", "qv", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    b = cut(blocks.where(F.col("v").isNotNull()).select(group, "block_id", "order_", "v"), "vectors")
+    n, bins = dealt(b, group)
+    b = b.join(n, group).select(group, "block_id", "order_", "v", in_bin(group, F.pmod(F.xxhash64("block_id"), F.col("parts")), bins).alias("bin"))
+    q = queries.where(F.col("qv").isNotNull()).groupBy(group, "query_id").agg(F.array_sort(F.collect_set("qv")).alias("qvs"))
+    q = q.groupBy(group, "qvs").agg(F.collect_list("query_id").alias("query_ids"))
+    q = q.join(n, group).select(group, "query_ids", "qvs", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    q = q.withColumn("bin", in_bin(group, F.col("part"), bins)).drop("part").dropDuplicates([group, "qvs", "bin"])
     kind = dict(b.dtypes)[group]
-    schema = f"{group} {kind}, query_id string, block_id string, order_ int, score double"
 
-    def best(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            x = x.sort_values(["order_", "block_id"])  # so that a stable sort keeps ties in order
-            m = np.stack(x.v.to_numpy()).astype(np.float64)
-            ids, at = x.block_id.to_numpy(), x.order_.to_numpy()
-            for name, many in y.groupby("query_id", sort=False):
-                s = np.round((m @ np.stack(many.qv.to_numpy()).T.astype(np.float64)).max(axis=1), 12)
-                top = np.argsort(-s, kind="stable")[:k]
-                out.append(pd.DataFrame({group: key[0], "query_id": name, "block_id": ids[top], "order_": at[top], "score": s[top]}))
-        if not out:
-            return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(", ")})
-        return pd.concat(out)
-
-    near = b.groupBy(group, "part").cogroup(q.groupBy(group, "part")).applyInPandas(best, schema)
+    def best(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        mine, out = dict(list(y.groupby(group, sort=False))), []
+        for g, own in x.groupby(group, sort=False):
+            if g not in mine:
+                continue
+            own = own.sort_values(["order_", "block_id"])  # so that a stable sort keeps ties in order
+            m = np.stack(own.v.to_numpy()).astype(np.float64)
+            ids, at = own.block_id.to_numpy(), own.order_.to_numpy()
+            for names, many in zip(mine[g].query_ids, mine[g].qvs, strict=True):
+                s = np.round((m @ np.stack(list(many)).T.astype(np.float64)).max(axis=1), 12)
+                top = _first(s, k)
+                out += [(g, name, ids[top], at[top], s[top]) for name in names]
+        return _told(out, [group, "query_id", "block_id", "order_", "score"])
+
+    near = b.groupBy("bin").cogroup(q.groupBy("bin")).applyInPandas(best, f"{group} {kind}, query_id string, block_id string, order_ int, score double")
     order = W.partitionBy(group, "query_id").orderBy(F.desc("score"), "order_", "block_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(group, "query_id", "block_id", "score", "rank")
 

@@ -52,3 +52,25 @@ def test_phrases_are_found_wherever_they_stand(spark, monkeypatch):
     k = spark.createDataFrame([("P", x) for x in keys] + [("Q", "ab c"), ("Q", "ab c"), ("S", "a"), ("P", "")], "paper_id string, key string")
     plain = b.join(k.where("key <> ''").distinct(), "paper_id").where(F.contains("t", "key")).select("paper_id", "key", "block_id")
     assert sorted(map(tuple, retrieval.holding(b, k).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_search_and_budget_do_not_depend_on_parts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    words = ["soil", "rain", "heat", "crop", "wind"]
+    b = [("PQ"[k % 5 == 0], f"b{k:02d}", int(k // 2), " ".join(rng.choice(words, rng.integers(0, 6)))) for k in range(50)]
+    q = [("P", "q1", "soil rain soil"), ("P", "q2", "soil rain soil"), ("P", "q3", "fog"), ("P", "q1", "wind"), ("Q", "q4", None), ("R", "q5", "rain")]
+    blocks = spark.createDataFrame(b, "paper_id string, block_id string, order_ int, text string")
+    v = spark.createDataFrame([(p, i, o, rng.integers(-2, 3, 3).astype(float).tolist() if o % 4 else None) for p, i, o, _ in b], "paper_id string, block_id string, order_ int, v array<double>")
+    qv = spark.createDataFrame([("P", "q1", [1.0, 0.0, 2.0]), ("P", "q2", [1.0, 0.0, 2.0]), ("P", "q1", [0.0, 1.0, 0.0]), ("Q", "q4", None), ("Q", "q6", [0.0, 0.0, 0.0])], "paper_id string, query_id string, qv array<double>")
+    queries = spark.createDataFrame(q, "paper_id string, query_id string, text string")
+    items = spark.createDataFrame([(f"g{k % 7}", f"i{k}", k, int(s), k % 9 == 0) for k, s in enumerate(rng.integers(1, 9, 60))], "group string, id string, pos int, size int, mandatory boolean")
+    told = lambda: [sorted(map(tuple, df.collect())) for df in (retrieval.bm25(blocks, queries, 4), retrieval.semantic_blocks(v, qv, 4), evidence.budget_fill(items, 20))]
+    whole = told()
+    monkeypatch.setattr(retrieval, "GROUP_BLOCKS", 7)
+    monkeypatch.setattr(evidence, "GROUPS", 2)
+    assert told() == whole
+    # every question of a paper with blocks has its four, a text without a hit in order of place
+    assert [len([x for x in whole[0] if x[1] == i]) for i in ("q1", "q2", "q3", "q4", "q5")] == [4, 4, 4, 4, 0]
+    assert [x[2] for x in sorted(whole[0], key=lambda x: x[4]) if x[1] == "q3"] == [i for p, i, *_ in sorted(b, key=lambda x: (x[2], x[1])) if p == "P"][:4]
+    near = {i: max(x @ np.array([1.0, 0.0, 2.0]), x @ np.array([0.0, 1.0, 0.0])) for p, i, _, x in ((r[0], r[1], r[2], np.array(r[3]) if r[3] else None) for r in v.collect()) if p == "P" and x is not None}
+    assert [x[3] for x in sorted(whole[1], key=lambda x: x[4]) if x[1] == "q1"] == sorted(near.values(), reverse=True)[:4]
