@@ -32,8 +32,6 @@ WINDOW, STRIDE, RUN = 14, 3, 12
 BALL = 0.33
 #: Items that one pass over the documents handles; more are handled in blocks.
 ITEM_BLOCK = 4_000
-#: Documents whose words are put around runs to set the threshold; nothing else depends on them.
-NOISE_DOCS = 200
 #: ``miss`` for which every window is a candidate, so that the exact check sees all.
 EXACT = 0.0
 #: Slices of the factor in the shuffle.
@@ -210,31 +208,39 @@ class Items:
         self.owner = np.array(owner, dtype=np.int64)
         self.centers, self.reach = _balls(self.latent)
 
-    def threshold(self, noise: list[np.ndarray], idf: np.ndarray, basis: np.ndarray, miss: float, seed: int = 5) -> float:
-        """Cosine that a window holding a run of an item reaches, but for the share ``miss``; no window lies below it for EXACT.
+    def threshold(self, idf: np.ndarray, basis: np.ndarray, miss: float) -> float:
+        """Cosine that every window holding a run of an item reaches, whatever the words beside the run; no window lies below it for EXACT.
 
-        Measured on every run of every item, placed among words of sampled documents.
+        A run leaves a window room for two more words. For each run and each item window e, the
+        least cosine over all pairs of hashed terms, or fewer, is bounded from below: e.(r+a+b) / |r+a+b| >= t holds where the least of e.(r+a) - t|r+a| over a and the least of
+        e.b - t|b| over b sum to 0 or more. The item window that gives the greatest bound counts.
         """
         if miss <= EXACT:
             return -2.0
-        rng = np.random.default_rng(seed)
-        filler = np.concatenate(noise) if noise else np.zeros(1, dtype=np.int32)
-        got = []
+        rows = np.vstack([np.zeros((1, basis.shape[1]), dtype=np.float32), idf[:, None] * basis])
+        size = np.linalg.norm(rows, axis=1)
+        least = 1.0
         for i, ws in self.words:
             ids, own = terms(ws), self.latent[self.owner == i]
             for k in range(len(ids) - RUN + 1):
-                n = WINDOW - RUN
-                before = int(rng.integers(0, n + 1))
-                j = int(rng.integers(0, max(1, len(filler) - n)))
-                f = np.resize(filler[j : j + n], n)
-                w = np.concatenate([f[:before], ids[k : k + RUN], f[before:]])
-                v = (idf[w][:, None] * basis[w]).sum(axis=0)
-                got.append(float((own @ v).max() / max(np.linalg.norm(v), 1e-9)))
-        return float(np.quantile(got, miss)) - 0.01 if got else 1.0
-
-
-def _candidates(idf_b, basis_b, items_b, low: float, least: int):
-    """For each document of at least ``least`` words: its word list and, by window, the items whose windows are near."""
+                w = ids[k : k + RUN]
+                r = (idf[w][:, None] * basis[w]).sum(axis=0)
+                e = own[int(np.argmax(own @ r))]
+                side = rows @ e
+                long = np.sqrt(np.maximum(0.0, r @ r + 2 * (rows @ r) + size * size))
+                fits = lambda t: (float(e @ r) + side - t * long).min() + (side - t * size).min() >= 0  # noqa: B023, E731
+                if fits(least):
+                    continue
+                low = -1.0
+                for _ in range(12):
+                    t = (low + least) / 2
+                    low, least = (t, least) if fits(t) else (low, t)
+                least = low
+        return max(-1.0, least) - 0.01
+
+
+def _candidates(idf_b, basis_b, items_b, low: float, least: int, whose: bool = True):
+    """For each document of at least ``least`` words: its word list and, by window, the items whose windows are near; without ``whose`` the windows only."""
 
     def run(p: pd.DataFrame):
         idf, basis, items = idf_b.value, basis_b.value, items_b.value
@@ -251,7 +257,17 @@ def _candidates(idf_b, basis_b, items_b, low: float, least: int):
                 base = int(part[0])
                 sub = ids[base : int(part[-1]) + WINDOW]
                 v = _unit(window_sums(idf[sub][:, None] * basis[sub], part - base))
-                near = np.flatnonzero((v @ items.centers.T >= touch).any(axis=1))
+                c = v @ items.centers.T
+                if not whose:
+                    # centres are items' windows themselves: what is near one needs no further product
+                    a = (c >= low).any(axis=1)
+                    rest = np.flatnonzero(~a & (c >= touch).any(axis=1))
+                    if len(rest):
+                        a[rest] = (v[rest] @ items.latent.T >= low).any(axis=1)
+                    if a.any():
+                        yield doc, ws, part, np.flatnonzero(a), None, None
+                    continue
+                near = np.flatnonzero((c >= touch).any(axis=1))
                 s = v[near] @ items.latent.T
                 a, b = np.nonzero(s >= low)
                 if len(a):
@@ -261,22 +277,17 @@ def _candidates(idf_b, basis_b, items_b, low: float, least: int):
 
 
 def _exact(idf_b, basis_b, items_b, low: float):
-    near = _candidates(idf_b, basis_b, items_b, low, RUN)
+    near = _candidates(idf_b, basis_b, items_b, low, RUN, False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             found = set()
             runs = items_b.value.runs
-            for doc, ws, at, a, owner, _ in near(p):
-                by: dict[int, set[int]] = defaultdict(set)
-                for w, i in zip(a.tolist(), owner.tolist(), strict=True):
-                    by[w].add(i)
-                for w, want in by.items():
-                    s = int(at[w])
-                    for k in range(s, min(s + WINDOW, len(ws)) - RUN + 1):
-                        hit = runs.get(tuple(ws[k : k + RUN]))
-                        if hit:
-                            found.update((doc, i) for i in hit & want)
+            for doc, ws, at, a, _, _ in near(p):
+                for k in sorted({k for s in at[a].tolist() for k in range(s, min(s + WINDOW, len(ws)) - RUN + 1)}):
+                    hit = runs.get(tuple(ws[k : k + RUN]))
+                    if hit:
+                        found.update((doc, i) for i in hit)
             yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"])
 
     return run
@@ -342,21 +353,19 @@ def _prepare(docs: DataFrame, items: DataFrame, miss: float):
     sides = items.where("item_id is not null").select(F.explode(F.array("question", "passage")).alias("text")).where("text is not null")
     item_ids = cut(sides.select(F.lit(0).cast("long").alias("doc_id"), "text").mapInPandas(_term_ids, "doc_id long, ids binary"), "item-terms")
     basis = latent_basis(ids, item_ids, idf)
-    # words to put runs among: a bounded sample of whole texts that serves the threshold only
-    noise = [np.frombuffer(r["ids"], dtype=np.uint16).astype(np.int32) for r in ids.orderBy(F.xxhash64("doc_id")).limit(NOISE_DOCS).collect()]
     blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
     idf_b, basis_b = sc.broadcast(idf), sc.broadcast(basis)
     for b in range(blocks):
         rows = items.where((F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) & F.col("item_id").isNotNull()).select("item_id", "question", "passage").distinct().collect()
         own = Items([tuple(r) for r in rows], idf, basis)
-        yield slim, idf_b, basis_b, sc.broadcast(own), own.threshold(noise, idf, basis, miss)
+        yield slim, idf_b, basis_b, sc.broadcast(own), own.threshold(idf, basis, miss)
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, miss: float = 0.0005) -> DataFrame:
     """(doc_id, item_id): the document shares at least RUN consecutive words with the item's question or passage.
 
-    The latent search is set to lose the share ``miss`` of runs that stand in foreign text;
-    ``miss=EXACT`` makes every window a candidate and loses none. Null texts and ids, texts
+    The latent search's threshold is a bound that every window with a run keeps, so none is lost, whatever
+    ``miss`` above EXACT; ``miss=EXACT`` makes every window a candidate. Null texts and ids, texts
     shorter than a run and items shorter than a run match nothing; equal texts are reported
     each; empty tables give no rows.
     """
